@@ -11,9 +11,11 @@ QUERIES = {
         "p2_found", "p2_pairs",
         "p3_found", "p3_neighbors",
         "p4_found", "p4_terms",
+        "p5_found",
         "p6_found", "p6_sequences", "p6_pages", "p6_chunks",
         "p7_ids",
         "p8_containers",
+        "p9_found", "p9_languages",
     )
 }
 

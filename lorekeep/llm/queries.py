@@ -11,8 +11,10 @@ from lorekeep.llm.cooccurrence import cooccurrence
 from lorekeep.llm.frequency import marked, term_frequency
 from lorekeep.llm.furniture import line_sequences, repeated_lines, without_lines, without_phrases
 from lorekeep.llm.items import current_sections, long_items
+from lorekeep.llm.language import fit_languages, label_defects, language_runs
 from lorekeep.llm.neighbors import mutual_pairs, nearest_vectors
 from lorekeep.llm.packing import pack_texts
+from lorekeep.llm.pairs import pair_defects
 from lorekeep.llm.splitting import split_oversized
 from lorekeep.llm.tokens import encode_corpus
 from lorekeep.operators.current import current_rows
@@ -107,6 +109,26 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_terms(spark, sf_dir).where("mark is not null").select("concept", "mark")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers and summaries that do not answer their question, with the kind of defect."""
+    results = current_rows(
+        table(spark, sf_dir, "query_results").select("result_id", "question_id", "answer", "spoken_summary", "answered_at"),
+        ["result_id"],
+        "answered_at",
+    )
+    questions = table(spark, sf_dir, "questions").groupBy("question_id").agg(F.min("question").alias("prompt"))
+    model = fit_languages(table(spark, sf_dir, "lang_samples"))
+    found = pair_defects(
+        results.join(questions, "question_id", "left"),
+        {"answer": True, "spoken_summary": False},
+        table(spark, sf_dir, "documents"),
+        "text",
+        model,
+        "result_id",
+    )
+    return found.select("result_id", "field", "defect")
+
+
 def _current_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "pages").select("doc_id", "page_number", "content", "ingested_at")
     return current_rows(df, ["doc_id", "page_number"]).drop("ingested_at")
@@ -166,3 +188,18 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_texts(table(spark, sf_dir, "documents"), "doc_id", "text", CAPACITY).select(
         "container", F.col("item").cast("long").alias("doc_id"), "piece_no", "start", "size"
     )
+
+
+def _language_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = fit_languages(table(spark, sf_dir, "lang_samples"))
+    return language_runs(table(spark, sf_dir, "documents"), model, "doc_id", "text", "lang")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing and wrong labels, and the runs of texts in several languages."""
+    return label_defects(_language_runs(spark, sf_dir), "doc_id", "lang").select("doc_id", "defect", "seg_start", "lang")
+
+
+def p9_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main language and confidence of every document, and its runs."""
+    return _language_runs(spark, sf_dir).select("doc_id", F.col("main").alias("lang"), "confidence", "runs")
