@@ -1,6 +1,17 @@
-"""All queries on the reference's operators, and their SQL."""
+"""All queries on the engine's operators, and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from lorekeep.plans import queries as q
+from lorekeep.plans.sql import ORACLE_SQL
+
+NAMES = (
+    "hybrid_retrieve dense_topk lexical_topk neighbor_expand router_boosts define_lane graph_boosts index_hint_boosts "
+    "text_keys title_keys question_terms concept_phrases page_segments chunk_windows chunk_pages section_islands "
+    "section_edges concept_edges see_also_edges doc_summaries index_entries history_budget history_rejects thread_depth "
+    "prompt_budget prompt_text citation_resolve near_ids provenance_pick citation_alignment snippet_focus "
+    "answer_reconcile model_outputs eval_score change_gate chunk_ranges scanned_only library_catalog"
+).split()
+QUERIES = {name: getattr(q, name) for name in NAMES}
+
+__all__ = ["NAMES", "ORACLE_SQL", "QUERIES"]
