@@ -1 +1,291 @@
-ORACLE_SQL = {}
+"""SQL (DuckDB) for the queries of ``queries.py``."""
+
+from __future__ import annotations
+
+from lorekeep.functions.text import ANSWER_STOP, QUESTION_STOP, RULE_PHRASES, STACKING_TERMS  # noqa: F401
+
+_WS = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
+def _trim(x: str) -> str:
+    return f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+def _collapse(x: str) -> str:
+    return f"regexp_replace({x}, '{_WS}+', ' ', 'g')"
+
+
+def _concept(x: str) -> str:
+    s = f"regexp_replace({_collapse(f'lower({_trim(x)})')}, '\\([^)]*\\)', ' ', 'g')"
+    s = _trim(_collapse(f"regexp_replace({s}, '[''’´`]', '''', 'g')"))
+    return _trim(f"regexp_replace({s}, '\\.$', '')")
+
+
+def _current(name: str, keys: str, newest: str = "ingested_at") -> str:
+    return (
+        f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {newest} DESC NULLS LAST) AS version "
+        f"FROM {name}) WHERE version = 1"
+    )
+
+
+CHUNKS, SECTIONS = _current("chunks", "chunk_id"), _current("sections", "section_id")
+PAGES = _current("pages", "doc_id, page_number")
+RESULTS = _current("query_results", "result_id", "answered_at")
+QUESTIONS = "SELECT DISTINCT ON (question_id) * FROM questions"
+ASKED = f"SELECT * FROM ({QUESTIONS}) WHERE question_id % 100 = 0"
+
+_stop = "[" + ", ".join(f"'{w}'" for w in QUESTION_STOP) + "]"
+_more = "[" + ", ".join(f"'{w}'" for w in STACKING_TERMS) + "]"
+_STACKING = r"(?i)\b(stack|stacks|stacking|duplicate|duplicates|twice|again|multiple)\b"
+_one = "list_transform(regexp_extract_all(lower(question), '[a-z0-9'']+'), lambda w: regexp_replace(w, '^''|''$', '', 'g'))"
+_own = f"list_filter({_one}, lambda w: length(w) >= 3 AND NOT list_contains({_stop}, w))"
+# every term once, in order of its first place
+_TERMS = f"""
+SELECT question_id, regexp_matches(question, '{_STACKING}') AS stacking,
+  list_filter(all_terms, lambda w, i: list_position(all_terms, w) = i) AS terms
+FROM (SELECT *, CASE WHEN regexp_matches(question, '{_STACKING}') THEN list_concat({_own}, {_more}) ELSE {_own} END AS all_terms
+  FROM ({{questions}}))
+"""
+
+_SURFACE = f"""CASE WHEN coalesce({_trim("section_heading")}, '') = '' THEN coalesce(text, '')
+  ELSE {_trim("section_heading")} || chr(10) || chr(10) || coalesce(text, '') END"""
+
+_rules = " + ".join(
+    f"CASE WHEN regexp_matches(body, '(?i)\\b{p}\\b') THEN {w} ELSE 0 END" for p, w in RULE_PHRASES.items()
+)
+_LEX = f"""
+WITH corpus AS (SELECT corpus_pos, chunk_id, doc_id, chunk_index, {_SURFACE} AS body FROM ({CHUNKS})),
+asked AS ({_TERMS.format(questions=ASKED)}),
+t AS (SELECT question_id, len(terms) AS n_terms, unnest(terms) AS term FROM asked),
+counted AS (
+  SELECT question_id, corpus_pos, n_terms, term,
+    len(regexp_extract_all(lower(body), '(^|[^a-z0-9_])' || term || '\\b')) AS hits
+  FROM t, corpus WHERE contains(lower(body), term)
+),
+base AS (
+  SELECT question_id, corpus_pos, count(*) FILTER (hits > 0) / max(n_terms) AS ratio, sum(hits) AS hits FROM counted GROUP BY 1, 2
+),
+ruled AS (
+  SELECT question_id, corpus_pos, least(weight, 0.38) AS rule FROM (SELECT corpus_pos, {_rules} AS weight FROM corpus), asked
+  WHERE weight > 0 AND stacking
+),
+glossary AS (
+  SELECT question_id, corpus_pos, least(count(*) * 0.14, 0.22) AS glossary FROM t, corpus
+  WHERE length(term) >= 6 AND contains(lower(body), term)
+    AND regexp_matches(lower(body), '\\b' || term || '\\s+an?\\s+' || term || '\\b') GROUP BY 1, 2
+),
+scored AS (
+  SELECT question_id, corpus_pos, coalesce(ratio, 0) AS ratio, coalesce(hits, 0) AS hits,
+    coalesce(rule, 0) + coalesce(glossary, 0) AS boost
+  FROM base FULL JOIN ruled USING (question_id, corpus_pos) LEFT JOIN glossary USING (question_id, corpus_pos)
+),
+lexical AS (
+  SELECT *, 2 * ratio + least(hits * 0.04, 0.45) + boost AS lex FROM scored
+  WHERE 2 * ratio + least(hits * 0.04, 0.45) + boost > 0
+),
+lane AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(lex, 9) DESC, corpus_pos) AS rank FROM lexical)
+  WHERE rank <= 24
+)
+"""
+
+_DENSE = f"""
+vectors AS (
+  SELECT corpus_pos, embedding::DOUBLE[] AS v FROM ({CHUNKS}) WHERE embedding IS NOT NULL
+),
+qs AS (SELECT question_id, query_vec::DOUBLE[] AS q FROM ({ASKED}) WHERE query_vec IS NOT NULL),
+cosines AS (
+  SELECT question_id, corpus_pos, CASE WHEN isfinite(c) THEN c ELSE 0 END AS dense FROM (
+    SELECT question_id, corpus_pos, CASE WHEN len(v) = 0 THEN 0 ELSE coalesce(
+      list_cosine_similarity(q[1:least(len(q), len(v))], v[1:least(len(q), len(v))]), 0) END AS c FROM qs, vectors)
+),
+dense_ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(dense, 9) DESC, corpus_pos) AS rank FROM cosines
+)
+"""
+
+_HYBRID = f"""{_LEX}, {_DENSE},
+pool AS (
+  SELECT question_id, corpus_pos, min((lane_no, rank)) AS o FROM (
+    SELECT question_id, corpus_pos, 0 AS lane_no, rank FROM dense_ranked WHERE rank <= 96
+    UNION ALL SELECT question_id, corpus_pos, 1, rank FROM lane) GROUP BY 1, 2
+),
+fused AS (
+  SELECT question_id, corpus_pos, o, coalesce(dense, 0) + 0.2 * coalesce(ratio, 0) + coalesce(boost, 0) AS score
+  FROM pool LEFT JOIN cosines USING (question_id, corpus_pos) LEFT JOIN lexical USING (question_id, corpus_pos)
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, o, corpus_pos) AS rank FROM fused
+),
+capped AS (
+  SELECT *, row_number() OVER (PARTITION BY question_id, doc_id ORDER BY rank) > 2 AS over
+  FROM placed JOIN corpus USING (corpus_pos)
+),
+picked AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY over, rank) AS pick FROM capped)
+"""
+
+_NEIGHBORS = f"""{_LEX},
+capped AS (
+  SELECT *, row_number() OVER (PARTITION BY question_id, doc_id ORDER BY rank) > 2 AS over FROM lane JOIN corpus USING (corpus_pos)
+),
+picked AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY over, rank) AS pick FROM capped) WHERE pick <= 10
+),
+offsets AS (SELECT unnest([0, -1, 1]) AS d, unnest([0, 1, 2]) AS turn),
+wanted AS (
+  SELECT question_id, doc_id, chunk_index + d AS chunk_index, min((pick, turn)) AS o
+  FROM picked JOIN offsets ON d = 0 OR pick <= 3 GROUP BY 1, 2, 3
+)
+SELECT question_id, doc_id, chunk_index, row_number() OVER (PARTITION BY question_id ORDER BY o) AS place
+FROM wanted WHERE (doc_id, chunk_index) IN (SELECT doc_id, chunk_index FROM corpus)
+"""
+
+_BUDGET = f"""{_LEX},
+blended AS (
+  SELECT *, 0.48 * CASE WHEN high > low THEN (lex - low) / (high - low) ELSE 1 END
+    + 0.52 * CASE WHEN n > 1 THEN (n - rank) / (n - 1) ELSE 1 END AS blend
+  FROM (SELECT *, min(lex) OVER w AS low, max(lex) OVER w AS high, count(*) OVER w AS n FROM lane WINDOW w AS (PARTITION BY question_id))
+),
+ordered AS (
+  SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY round(blend, 9) DESC, rank) AS place,
+    3 * len(list_filter(regexp_split_to_array('[CHUNK_ID: ' || chunk_id || ']' || chr(10) || body || chr(10), '{_WS}+'), lambda w: w <> '')) AS tokens
+  FROM blended JOIN corpus USING (corpus_pos)
+),
+summed AS (SELECT *, sum(tokens) OVER (PARTITION BY question_id ORDER BY place) AS total_tokens FROM ordered)
+SELECT question_id, chunk_id, place, tokens, total_tokens::BIGINT AS total_tokens FROM summed WHERE place = 1 OR total_tokens <= 3800
+"""
+
+_PROVENANCE = f"""{_LEX},
+valued AS (SELECT *, 2 * ratio + boost AS value FROM lexical JOIN corpus USING (corpus_pos)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(value, 9) DESC, hits DESC, corpus_pos) AS rank
+  FROM valued WHERE hits > 0 OR value > 0
+),
+capped AS (SELECT *, row_number() OVER (PARTITION BY question_id, doc_id ORDER BY rank) > 2 AS over FROM placed)
+SELECT question_id, corpus_pos, round(value, 6) AS value, hits::BIGINT AS hits, pick
+FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY over, rank) AS pick FROM capped) WHERE pick <= 5
+"""
+
+_TURNS = f"""
+turns AS (
+  SELECT question_id, turn - 1 AS turn, h.role AS role, h.content AS content FROM (
+    SELECT question_id, unnest(history) AS h, generate_subscripts(history, 1) AS turn FROM ({QUESTIONS}))
+)
+"""
+_SAID = "SELECT * FROM turns WHERE role IN ('user', 'assistant') AND content IS NOT NULL"
+
+_CITED = f"""
+cited AS (
+  SELECT * FROM (
+    SELECT result_id, library_id, ord - 1 AS ord,
+      {_trim(f"regexp_replace({_trim('c.chunk_id')}, '(?i)^CHUNK_ID\\s*:\\s*', '')")} AS chunk_id
+    FROM (SELECT result_id, library_id, unnest(citations) AS c, generate_subscripts(citations, 1) AS ord FROM ({RESULTS}))
+  ) WHERE chunk_id <> ''
+)
+"""
+
+_words = f"list_filter(regexp_split_to_array(text, '{_WS}+'), lambda w: w <> '')"
+
+
+def _held(column: str, name: str) -> str:
+    return (
+        f"SELECT DISTINCT {name}, concept FROM (SELECT section_id AS {name}, {_concept('c')} AS concept FROM "
+        f"(SELECT section_id, unnest({column}) AS c FROM ({SECTIONS}))) WHERE concept <> ''"
+    )
+
+
+ORACLE_SQL = {
+    "dense_topk": f"WITH {_DENSE} SELECT question_id, corpus_pos, round(dense, 5) AS dense, rank FROM dense_ranked WHERE rank <= 10",
+    "lexical_topk": f"{_LEX} SELECT question_id, corpus_pos, round(lex, 6) AS lex, rank FROM lane",
+    "hybrid_retrieve": f"{_HYBRID} SELECT question_id, corpus_pos, doc_id, chunk_index, round(score, 5) AS score, rank, pick FROM picked WHERE pick <= 10",
+    "neighbor_expand": _NEIGHBORS,
+    "prompt_budget": _BUDGET,
+    "provenance_pick": _PROVENANCE,
+    "text_keys": "SELECT DISTINCT doc_id, label, regexp_replace(regexp_replace(lower(label), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug, sha256(label) AS label_hash FROM library_docs",
+    "title_keys": f"SELECT section_id, {_concept('title')} AS title_key FROM ({SECTIONS})",
+    "question_terms": f"SELECT question_id, array_to_string(terms, ' ') AS terms, stacking FROM ({_TERMS.format(questions=QUESTIONS)})",
+    "chunk_windows": f"""
+WITH w AS (SELECT doc_id, {_words} AS ws FROM documents WHERE text IS NOT NULL),
+n AS (SELECT *, greatest(0, floor((len(ws) - 100) / 87)::INT + 1) AS full_ones FROM w),
+cut AS (SELECT doc_id, window_no, ws[87 * window_no + 1 : 87 * window_no + 100] AS part
+  FROM (SELECT *, unnest(range(full_ones + 1)) AS window_no FROM n))
+SELECT doc_id, window_no::INT AS window_no, (3 * len(part))::INT AS token_count, md5(array_to_string(part, ' ')) AS text_md5
+FROM cut WHERE len(part) = 100 OR 3 * len(part) > 10""",
+    "section_islands": f"""
+WITH c AS ({CHUNKS}),
+f AS (SELECT *, CASE WHEN row_number() OVER w = 1 THEN 0
+  WHEN section_heading IS DISTINCT FROM lag(section_heading) OVER w THEN 1 ELSE 0 END AS fresh FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index)),
+i AS (SELECT *, (sum(fresh) OVER (PARTITION BY doc_id ORDER BY chunk_index))::INT AS section_index FROM f)
+SELECT doc_id, section_index, doc_id || '#sec:' || section_index AS section_id,
+  coalesce(arg_min_null(section_heading, chunk_index), 'Untitled (p. ' || arg_min(page_start, chunk_index) || ')') AS title,
+  arg_min(page_start, chunk_index) AS page_start, arg_max(page_end, chunk_index) AS page_end,
+  string_agg(chunk_id, ',' ORDER BY chunk_index) AS chunk_ids
+FROM i GROUP BY doc_id, section_index""",
+    "section_edges": f"""
+WITH p AS (SELECT section_id, lead(section_id) OVER (PARTITION BY doc_id ORDER BY section_index) AS nxt FROM ({SECTIONS}))
+SELECT section_id AS src, nxt AS dst, 'next_section' AS type, 1.0::DOUBLE AS weight FROM p WHERE nxt IS NOT NULL
+UNION ALL SELECT nxt, section_id, 'prev_section', 1.0::DOUBLE FROM p WHERE nxt IS NOT NULL""",
+    "concept_edges": f"""
+WITH r AS ({_held("refs", "ref")}), f AS ({_held("defines", "def")}),
+p AS (SELECT ref, def, concept FROM r JOIN f USING (concept) WHERE ref <> def),
+e AS (SELECT ref AS src, def AS dst, 'references' AS type, concept FROM p UNION ALL SELECT def, ref, 'defines', concept FROM p)
+SELECT src, type, count(*) AS edges, count(DISTINCT concept) AS concepts FROM e GROUP BY src, type""",
+    "see_also_edges": f"""
+WITH s AS ({SECTIONS}),
+h AS (SELECT DISTINCT doc_id, src, own, hint FROM (SELECT doc_id, section_id AS src, {_concept('title')} AS own, {_concept('x')} AS hint
+  FROM (SELECT doc_id, section_id, title, unnest(see_also) AS x FROM s)) WHERE hint <> '' AND hint <> own),
+t AS (SELECT doc_id, section_id AS dst, {_concept('title')} AS title FROM s)
+SELECT DISTINCT src, dst, 'see_also' AS type, 0.5::DOUBLE AS weight FROM h JOIN t USING (doc_id)
+WHERE src <> dst AND (contains(title, hint) OR contains(hint, title))""",
+    "doc_summaries": f"""
+WITH s AS ({SECTIONS}),
+c AS (SELECT doc_id, section_index, pos, {_concept('x')} AS concept FROM
+  (SELECT doc_id, section_index, unnest(concepts) AS x, generate_subscripts(concepts, 1) AS pos FROM s)),
+n AS (SELECT doc_id, concept, count(*) AS n, min((section_index, pos)) AS first FROM c WHERE concept <> '' GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first, concept) AS r FROM n),
+t AS (SELECT doc_id, string_agg(concept, '|' ORDER BY r) AS top_concepts FROM r WHERE r <= 40 GROUP BY 1),
+d AS (SELECT doc_id, string_agg(DISTINCT concept, '|' ORDER BY concept) AS authoritative_for FROM
+  (SELECT doc_id, {_concept('x')} AS concept FROM (SELECT doc_id, unnest(defines) AS x FROM s)) WHERE concept <> '' GROUP BY 1)
+SELECT doc_id, coalesce(top_concepts, '') AS top_concepts, coalesce(authoritative_for, '') AS authoritative_for
+FROM (SELECT DISTINCT doc_id FROM s) LEFT JOIN t USING (doc_id) LEFT JOIN d USING (doc_id)""",
+    "history_budget": f"""
+WITH {_TURNS}, said AS ({_SAID}),
+k AS (SELECT *, (3 * len(list_filter(regexp_split_to_array(content, '{_WS}+'), lambda w: w <> '')))::INT AS tokens FROM said),
+s AS (SELECT *, (sum(tokens) OVER (PARTITION BY question_id ORDER BY turn DESC))::BIGINT AS total_tokens FROM k)
+SELECT question_id, turn::INT AS turn, role, tokens, total_tokens FROM s WHERE total_tokens <= 120""",
+    "history_rejects": f"WITH {_TURNS} SELECT question_id, turn::INT AS turn, role FROM turns WHERE role IS NULL OR role NOT IN ('user', 'assistant') OR content IS NULL",
+    "thread_depth": f"""
+WITH {_TURNS}, said AS ({_SAID})
+SELECT question_id, turn::INT AS turn, role, (sum((role = 'user')::INT) OVER (PARTITION BY question_id ORDER BY turn))::BIGINT AS depth FROM said""",
+    "citation_resolve": f"""
+WITH {_CITED}, k AS ({CHUNKS})
+SELECT result_id, ord::INT AS ord, chunk_id, k.doc_id IS NOT NULL AS resolved, k.doc_id,
+  CASE WHEN page_start = page_end THEN 'p. ' || page_start ELSE 'pp. ' || page_start || '-' || page_end END AS page_hint
+FROM cited LEFT JOIN k USING (chunk_id)""",
+    "near_ids": f"""
+WITH {_CITED},
+a AS (SELECT DISTINCT library_id, chunk_id, lower(regexp_extract(chunk_id, '^(.+)#(\\d+)$', 1)) AS w, regexp_extract(chunk_id, '^(.+)#(\\d+)$', 2) AS n FROM cited),
+b AS (SELECT library_id, chunk_id AS near_id, lower(regexp_extract(chunk_id, '^(.+)#(\\d+)$', 1)) AS c, regexp_extract(chunk_id, '^(.+)#(\\d+)$', 2) AS n FROM ({CHUNKS})),
+p AS (SELECT a.library_id, chunk_id, near_id, levenshtein(w, c)::INT AS edits FROM a JOIN b ON a.library_id = b.library_id AND a.n = b.n AND a.n <> ''),
+r AS (SELECT *, row_number() OVER (PARTITION BY library_id, chunk_id ORDER BY edits, near_id) AS r FROM p WHERE edits BETWEEN 1 AND 4)
+SELECT library_id, chunk_id, near_id, edits FROM r WHERE r = 1""",
+    "change_gate": """
+WITH d AS (SELECT DISTINCT doc_id, sha256, created_at FROM library_docs),
+n AS (SELECT doc_id, sha256 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY created_at DESC NULLS LAST) AS r FROM d) WHERE r = 1)
+SELECT doc_id, sha256 FROM n WHERE EXISTS (SELECT 1 FROM d WHERE d.doc_id = n.doc_id AND d.sha256 IS DISTINCT FROM n.sha256)""",
+    "chunk_ranges": f"SELECT doc_id, min(corpus_pos) AS chunk_start, max(corpus_pos) AS chunk_end FROM ({CHUNKS}) GROUP BY doc_id",
+    "scanned_only": f"""
+SELECT doc_id, count(*) AS n_pages, sum(length(coalesce(content, '')))::BIGINT AS n_chars,
+  count(*) > 1 AND sum(length(coalesce(content, ''))) < 50 AS scanned FROM ({PAGES}) GROUP BY doc_id""",
+    "library_catalog": f"""
+WITH l AS (SELECT DISTINCT library_id, label FROM libraries),
+d AS (SELECT library_id, count(DISTINCT doc_id) AS documents FROM library_docs GROUP BY 1),
+c AS (SELECT library_id, count(*) AS chunks FROM ({CHUNKS}) GROUP BY 1)
+SELECT library_id, label, coalesce(documents, 0) AS documents, coalesce(chunks, 0) AS chunks FROM l LEFT JOIN d USING (library_id) LEFT JOIN c USING (library_id)""",
+    "eval_score": f"""
+WITH {_CITED}, k AS (SELECT chunk_id FROM ({CHUNKS})),
+o AS (SELECT result_id, max((k.chunk_id IS NOT NULL)::INT) AS ok FROM cited LEFT JOIN k USING (chunk_id) GROUP BY 1)
+SELECT library_id, CASE WHEN confidence IN ('high', 'mixed', 'not_in_book', 'speculative') THEN confidence ELSE 'not_in_book' END AS confidence,
+  count(*) AS results, sum(coalesce(ok, 0))::BIGINT AS grounded
+FROM ({RESULTS}) LEFT JOIN o USING (result_id) GROUP BY 1, 2""",
+}
