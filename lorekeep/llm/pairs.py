@@ -5,7 +5,6 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -245,9 +244,9 @@ def pair_defects(
                 {
                     id_col: frame[id_col].iloc[keep].to_numpy(),
                     "field": frame["field"].iloc[keep].to_numpy(),
-                    "prompt": [bare(prompts[i] or "") for i in keep],
-                    "defect": [defect[i] for i in keep],
-                    "clauses": [clauses[i] for i in keep],
+                    "prompt": pd.Series([bare(prompts[i] or "") for i in keep], dtype=object),
+                    "defect": pd.Series([defect[i] for i in keep], dtype=object),
+                    "clauses": pd.Series([clauses[i] for i in keep], dtype=object),
                 }
             )
 

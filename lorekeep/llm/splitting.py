@@ -171,6 +171,8 @@ def split_oversized(
                 found, natural = split_text(text, limit, overlap)
                 cuts.append("natural" if natural else "forced")
                 pieces.append([(k, a, b, c, ok, text[a:c]) for k, (a, b, c, ok) in enumerate(found)])
-            yield frame.iloc[:, : len(id_cols)].assign(cut=cuts, pieces=pieces)
+            yield frame.iloc[:, : len(id_cols)].assign(
+                cut=pd.Series(cuts, index=frame.index, dtype=object), pieces=pd.Series(pieces, index=frame.index, dtype=object)
+            )
 
     return df.where(F.length(text_col) > limit).select(*id_cols, text_col).mapInPandas(run, out)
