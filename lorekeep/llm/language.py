@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.llm.bytecnn import NEUTRAL, ByteNet, NetParams, letters, without_accents
@@ -214,17 +214,17 @@ def language_runs(df: DataFrame, model: ByteNet, id_col: str, text_col: str, *ke
 def label_defects(runs: DataFrame, id_col: str, label_col: str) -> DataFrame:
     """id, defect, seg_start, lang: labels that are missing or wrong, and each run of a text in several languages."""
     code = F.pandas_udf(lambda s: s.map(label_code, na_action="ignore"), "string")(F.col(label_col))
+    # one pass: the defects of a row are gathered in an array, so the texts are read and scored once
     checked = runs.where("main is not null").withColumn("__code", code)
-    label = checked.where(~F.col("__code").eqNullSafe(F.col("main"))).select(
-        id_col,
-        F.when(F.col("__code").isNull(), "missing").otherwise("wrong").alias("defect"),
-        F.lit(0).alias("seg_start"),
-        F.col("main").alias("lang"),
-    )
+    shape = "array<struct<defect:string,seg_start:int,lang:string>>"
+
+    def one(defect: Column, start: Column, lang: Column) -> Column:
+        return F.struct(defect.alias("defect"), start.alias("seg_start"), lang.alias("lang"))
+
+    named = F.when(F.col("__code").isNull(), "missing").otherwise("wrong")
+    label = F.when(~F.col("__code").eqNullSafe(F.col("main")), F.array(one(named, F.lit(0), F.col("main"))))
     several = F.size(F.array_distinct(F.transform("runs", lambda r: r["lang"]))) > 1
-    mixed = (
-        runs.where(several)
-        .select(id_col, F.explode("runs").alias("r"))
-        .select(id_col, F.lit("mixed").alias("defect"), F.col("r.start").alias("seg_start"), F.col("r.lang").alias("lang"))
-    )
-    return label.unionAll(mixed)
+    mixed = F.when(several, F.transform("runs", lambda r: one(F.lit("mixed"), r["start"], r["lang"])))
+    none = F.array().cast(shape)
+    found = F.concat(F.coalesce(label.cast(shape), none), F.coalesce(mixed.cast(shape), none))
+    return checked.select(id_col, F.explode(found).alias("d")).select(id_col, "d.defect", "d.seg_start", "d.lang")
