@@ -18,6 +18,7 @@ from lorekeep.llm.pairs import pair_defects
 from lorekeep.llm.splitting import split_oversized
 from lorekeep.llm.tokens import encode_corpus
 from lorekeep.operators.current import current_rows
+from lorekeep.session import cut
 from lorekeep.sources.tables import table
 
 LIMIT, OVERLAP = 2000, 200
@@ -149,7 +150,8 @@ def p6_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of such lines that follow each other down the pages of a book."""
     pages = _current_pages(spark, sf_dir)
     pages_of = pages.groupBy(F.col("doc_id").alias("source")).agg(F.count(F.lit(1)).alias("n_pages"))
-    return line_sequences(_repeated(pages), pages_of, MIN_PAGES, MIN_SHARE).withColumnRenamed("source", "doc_id")
+    # every level reads the occurrences again
+    return line_sequences(cut(_repeated(pages)), pages_of, MIN_PAGES, MIN_SHARE).withColumnRenamed("source", "doc_id")
 
 
 def p6_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
