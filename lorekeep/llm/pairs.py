@@ -23,6 +23,13 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 16, 4
 # a clause with at least this share of words that sound text never uses is free of content
 FREE_SHARE = 0.25
+# a clause with so many words is content if fewer than this share of them are strange, or if it holds a digit
+PLAIN_SHARE = 0.125
+# a template that stands beside content under more than these shares of its prompts reports on the book, or answers
+MIXED_SLOT, MIXED = 0.1, 0.5
+# up to so many prompts that evidence is thin, and naming the source decides
+SURE_PROMPTS = 20
+NAME = "<name>"
 # words in at least this share of the sound texts, and in two of them, are known; so many at most
 KNOWN_SHARE, MAX_WORDS = 0.0005, 200_000
 SURE = 0.8
@@ -36,6 +43,14 @@ STAND_INS = frozenset(
     .split()
 )
 
+# fixed values: what an answer calls its source when it says that the matter is not covered
+SOURCE_WORDS = tuple(
+    "book books rulebook text texts excerpt excerpts passage passages page pages rule rules document documents source sources "
+    "buch regelbuch auszug auszüge auszügen regel regeln seite seiten quelle quellen livre texte extrait extraits règle "
+    "règles libro texto fragmento fragmentos regla reglas página páginas"
+    .split()
+)
+
 _BULLET = regex.compile(r"\s*(?:[-*•–]|\d+[.)])\s+\S")
 _CLOSE = regex.compile(r"[\s\p{Cf}\"'“”’»›)\]*_`~#\p{So}\p{Sk}\p{Emoji_Modifier}️‍]+\Z")
 _AFTERTHOUGHT = regex.compile(
@@ -94,29 +109,32 @@ def is_truncated(value: str) -> bool:
     return len(words) > 2 or t[-1] in ",;:-–—("
 
 
-def clauses_of(value: str, known: frozenset[str], names: frozenset[str]) -> list[str] | None:
-    """The clauses of a response that is free of content: no name among other words, no number, words unlike sound text.
+def clauses_of(value: str, known: frozenset[str], names: frozenset[str]) -> tuple[list[tuple[str, bool]], bool]:
+    """The opening clauses, each with whether content stands beside it, and whether the response is free of content.
 
-    Null if any clause has content. A clause of names only, like a heading, is passed over.
+    Names become a slot, so a clause that names its subject is the same for every subject; a clause of names only, like
+    a heading, is passed over. A response is free of content if enough of its words other than names are strange: words
+    that sound text never uses.
     """
-    found = []
+    found, plain = [], []
+    total = strange = 0
     for part in _CLAUSE.split(value):
         words = letters(part).split()
+        digit = any(c.isdigit() for c in part)
         if not words:
-            if any(c.isdigit() for c in part):
-                return None
+            plain.append(digit)
             continue
-        named = sum(w in names for w in words)
-        if named == len(words):
+        others = [w for w in words if w not in names]
+        if not others and not digit:
             continue
-        if named or any(c.isdigit() for c in part):
-            return None
-        found.append(words)
-    total = sum(len(w) for w in found)
-    strange = sum(w not in known for ws in found for w in ws)
-    if not total or strange < FREE_SHARE * total:
-        return None
-    return [" ".join(w) for w in found[:OPENING_CLAUSES]]
+        odd = sum(w not in known for w in others)
+        total, strange = total + len(others), strange + odd
+        plain.append(digit or (len(words) >= TEMPLATE_WORDS and odd < PLAIN_SHARE * len(others)))
+        masked = [NAME if w in names else w for w in words]
+        found.append((len(plain) - 1, " ".join(w for i, w in enumerate(masked) if w != NAME or masked[i - 1 : i] != [NAME])))
+    beside = sum(plain)
+    free = total > 0 and strange >= FREE_SHARE * total
+    return [(clause, beside > plain[i]) for i, clause in found[:OPENING_CLAUSES]], free
 
 
 def sound_words(texts: DataFrame, text_col: str) -> DataFrame:
@@ -150,7 +168,7 @@ def sound_words(texts: DataFrame, text_col: str) -> DataFrame:
 
 
 def template_clauses(openings: DataFrame) -> DataFrame:
-    """clause, prompts: clauses of openings (clause, prompt) with the unrelated prompts that their cluster recurs under.
+    """clause, root, prompts: clauses of openings (clause, prompt), their cluster and the unrelated prompts it recurs under.
 
     Clauses are clustered by MinHash over shingles of five words (a shorter clause is one shingle): per band, every clause is
     compared with the least clause of its bucket and joins it if the Jaccard similarity is at least 0.8. Exact
@@ -184,7 +202,39 @@ def template_clauses(openings: DataFrame) -> DataFrame:
     support = (
         distinct.join(rooted, "clause").select("root", "prompt").distinct().groupBy("root").agg(F.count(F.lit(1)).alias("prompts"))
     )
-    return rooted.join(support, "root").select("clause", "prompts")
+    return rooted.join(support, "root").select("clause", "root", "prompts")
+
+
+def refusal_templates(openings: DataFrame) -> DataFrame:
+    """clause, covers, pure: recurring clauses of openings (prompt, clause, mixed, free).
+
+    Clauses recur in responses free of content under at least three prompts. ``covers`` marks those that say the book does not
+    cover the matter, which is no refusal: answers go on to content after them, refusals do not; where prompts are
+    few, a clause that names the source is one. ``pure`` marks clauses that hardly ever stand beside content. Clauses
+    that mostly do, like an apology before an answer, are left out.
+    """
+    found = template_clauses(openings.where("free").select("clause", "prompt")).where(F.col("prompts") >= TEMPLATE_PROMPTS)
+    mixed = (
+        openings.where("mixed")
+        .join(found.select("clause", "root"), "clause")
+        .groupBy("root")
+        .agg(F.count_distinct("prompt").alias("mixed"))
+    )
+    words = F.split("root", " ")
+    slot = F.array_contains(words, NAME)
+    source = F.arrays_overlap(words, F.array(*map(F.lit, SOURCE_WORDS)))
+    beside = F.coalesce("mixed", F.lit(0)) / F.col("prompts")
+    return (
+        found.join(mixed, "root", "left")
+        .select(
+            "clause",
+            (((slot | source) & (beside > MIXED_SLOT)) | (source & (F.col("prompts") < SURE_PROMPTS))).alias("covers"),
+            (beside <= MIXED_SLOT).alias("pure"),
+            beside.alias("beside"),
+        )
+        .where(F.col("covers") | (F.col("beside") <= MIXED))
+        .drop("beside")
+    )
 
 
 def pair_defects(
@@ -194,7 +244,7 @@ def pair_defects(
 
     ``fields`` says for each field whether it is required and must be complete (an answer) or may be null and cut short (a
     summary). The checks, in order: ``empty``; ``echo``; ``refusal``, a response free of content whose opening has a
-    template that recurs under at least three prompts; ``truncated``, required fields only; ``wrong_language``,
+    template that recurs under at least three prompts and none that says the book does not cover the matter; ``truncated``, required fields only; ``wrong_language``,
     where prompt and response both have a sure language. A null prompt has no echo and no language. Repeated
     rows of ``responses`` give repeated rows. Known words come from ``sound``; their number is bounded and checked
     before they are broadcast.
@@ -218,7 +268,8 @@ def pair_defects(
         for frame in frames:
             n = len(frame)
             defect: list[str | None] = [None] * n
-            clauses: list[list[str] | None] = [None] * n
+            clauses: list[list[tuple[str, bool]]] = [[] for _ in range(n)]
+            free = [False] * n
             prompts = [p if isinstance(p, str) else None for p in frame["prompt"]]
             values = [v if isinstance(v, str) else None for v in frame["value"]]
             rest = []
@@ -228,7 +279,7 @@ def pair_defects(
                 elif is_echo(value, prompt):
                     defect[i] = "echo"
                 else:
-                    clauses[i] = clauses_of(value, known, names)
+                    clauses[i], free[i] = clauses_of(value, known, names)
                     if fields[field] and is_truncated(value):
                         defect[i] = "truncated"
                     else:
@@ -246,18 +297,29 @@ def pair_defects(
                     "field": frame["field"].iloc[keep].to_numpy(),
                     "prompt": pd.Series([bare(prompts[i] or "") for i in keep], dtype=object),
                     "defect": pd.Series([defect[i] for i in keep], dtype=object),
-                    "clauses": pd.Series([clauses[i] for i in keep], dtype=object),
+                    "free": [free[i] for i in keep],
+                    "clauses": pd.Series([[c for c, _ in clauses[i]] for i in keep], dtype=object),
+                    "mixed": pd.Series([[m for _, m in clauses[i]] for i in keep], dtype=object),
                 }
             )
 
     seen = cut(
-        spread(rows, id_col).mapInPandas(inspect, f"`{id_col}` {kind}, field string, prompt string, defect string, clauses array<string>")
+        spread(rows, id_col).mapInPandas(
+            inspect,
+            f"`{id_col}` {kind}, field string, prompt string, defect string, free boolean, clauses array<string>, mixed array<boolean>",
+        )
     )
-    openings = seen.select("prompt", F.explode("clauses").alias("clause")).where(F.size(F.split("clause", " ")) >= TEMPLATE_WORDS)
-    templates = template_clauses(openings).where(F.col("prompts") >= TEMPLATE_PROMPTS).select("clause")
     tagged = seen.withColumn("row", F.monotonically_increasing_id())
+    openings = tagged.select("row", "prompt", "free", F.inline(F.arrays_zip(F.col("clauses").alias("clause"), "mixed"))).where(
+        F.size(F.split("clause", " ")) >= TEMPLATE_WORDS
+    )
     refused = (
-        tagged.select("row", F.explode("clauses").alias("clause")).join(templates, "clause").select("row").distinct().withColumn("refused", F.lit(True))
+        openings.where("free")
+        .join(refusal_templates(openings), "clause")
+        .groupBy("row")
+        .agg(F.bool_or("covers").alias("covers"))
+        .where("not covers")
+        .select("row", F.lit(True).alias("refused"))
     )
     final = F.when(F.col("refused"), "refusal").otherwise(F.col("defect"))
     return (

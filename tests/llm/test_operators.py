@@ -305,6 +305,17 @@ def test_pair_defects(spark, sf_dir, net):
     assert pairs.pair_defects(df.limit(0), *args).count() == 0
 
 
+def test_refusals_that_name_their_subject(spark, sf_dir, net):
+    sound = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    words = pairs.sound_words(sound, "text").where("capital >= 0.3 * df and lower * 20 < capital").orderBy("word").limit(4).collect()
+    names = [r["word"].title() for r in words]
+    texts = ["Regrettably, I must refuse to say how {} works.", "About {}: I was told not to discuss matters of this kind.", "Nothing in this book covers {}."]
+    rows = [(10 * k + i, f"How does {n} work, and who gains seal {k}?", t.format(n), None) for k, t in enumerate(texts) for i, n in enumerate(names)]
+    df = spark.createDataFrame(rows, "result_id long, prompt string, answer string, spoken_summary string")
+    got = pairs.pair_defects(df, {"answer": True, "spoken_summary": False}, sound, "text", net, "result_id").collect()
+    assert sorted(r.result_id for r in got if r.defect == "refusal") == [0, 1, 2, 3, 10, 11, 12, 13]
+
+
 def test_nothing_else_imports_llm():
     import pathlib
 
