@@ -7,9 +7,13 @@ lines to delete are settled at the first level and the later levels say which of
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorekeep.session import cut
+
 # shorter keys are compared exactly: with one letter free, most short words are alike
 FUZZY_FROM = 6
 
@@ -121,12 +125,13 @@ def repeated_lines(
 
 
 def line_sequences(
-    occurrences: DataFrame, pages_of: DataFrame, min_pages: int = 5, min_share: float = 0.15, max_length: int = 3
+    occurrences: DataFrame, pages_of: DataFrame, min_pages: int = 5, min_share: float = 0.15, max_length: int | None = None
 ) -> DataFrame:
-    """source, lines (array), support: the frequent sequences of repeated lines, up to ``max_length`` lines.
+    """source, lines (array), support: the frequent sequences of repeated lines, of any length unless ``max_length`` is given.
 
     ``occurrences`` is the result of ``repeated_lines``. Each level keeps, per page and sequence, where its first
-    occurrence ends (the projected database), and grows it by every repeated line further down the page.
+    occurrence ends (the projected database), and grows it by every repeated line further down the page. Levels are
+    written once each; the growth ends with the first that has no frequent sequence.
     """
     items = occurrences.select("source", "page", "line_no", "line")
     need = pages_of.select(
@@ -134,28 +139,26 @@ def line_sequences(
         F.greatest(F.lit(min_pages), F.ceil(F.col("n_pages") * F.lit(min_share) - F.lit(1e-9))).cast("long").alias("need"),
     )
     grown = items.groupBy("source", "page", F.array("line").alias("lines")).agg(F.min("line_no").alias("end"))
-    levels = []
-    for level in range(max_length):
-        if level:
-            grown = (
-                grown.join(items, ["source", "page"])
-                .where("line_no > end")
-                .groupBy("source", "page", F.concat("lines", F.array("line")).alias("lines"))
-                .agg(F.min("line_no").alias("end"))
-            )
-        support = (
+    found = None
+    for level in itertools.count(1):
+        grown = cut(grown)
+        support = cut(
             grown.groupBy("source", "lines")
             .agg(F.count(F.lit(1)).alias("support"))
             .join(need, "source")
             .where("support >= need")
             .select("source", "lines", "support")
         )
-        levels.append(support)
-        grown = grown.join(support.select("source", "lines"), ["source", "lines"], "left_semi")
-    found = levels[0]
-    for more in levels[1:]:
-        found = found.unionAll(more)
-    return found
+        found = support if found is None else found.unionAll(support)
+        if level == max_length or support.isEmpty():
+            return found
+        grown = (
+            grown.join(support.select("source", "lines"), ["source", "lines"], "left_semi")
+            .join(items, ["source", "page"])
+            .where("line_no > end")
+            .groupBy("source", "page", F.concat("lines", F.array("line")).alias("lines"))
+            .agg(F.min("line_no").alias("end"))
+        )
 
 
 def without_lines(pages: DataFrame, occurrences: DataFrame, source: str, page: str, content: str) -> DataFrame:

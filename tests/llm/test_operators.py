@@ -121,6 +121,16 @@ def test_line_sequences(spark):
     assert got == {("firstlinehere",): 6, ("secondlinethere",): 6, ("firstlinehere", "secondlinethere"): 6}
 
 
+def test_line_sequences_of_any_length(spark):
+    names = ["alpha line", "bravo line", "charlie line", "delta line", "echo line"]
+    df = spark.createDataFrame([("d", i, "\n".join(names)) for i in range(6)], "doc_id string, page_number int, content string")
+    n = spark.createDataFrame([("d", 6)], "source string, n_pages long")
+    occ = furniture.repeated_lines(df, "doc_id", "page_number", "content")
+    got = {tuple(r.lines) for r in furniture.line_sequences(occ, n).collect()}
+    keys = [x.replace(" ", "") for x in names]
+    assert got == {c for k in range(1, 6) for c in itertools.combinations(keys, k)}
+
+
 # tokens
 
 
