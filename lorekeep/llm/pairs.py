@@ -213,7 +213,8 @@ def refusal_templates(openings: DataFrame) -> DataFrame:
     few, a clause that names the source is one. ``pure`` marks clauses that hardly ever stand beside content. Clauses
     that mostly do, like an apology before an answer, are left out.
     """
-    found = template_clauses(openings.where("free").select("clause", "prompt")).where(F.col("prompts") >= TEMPLATE_PROMPTS)
+    # read twice, and few
+    found = cut(template_clauses(openings.where("free").select("clause", "prompt")).where(F.col("prompts") >= TEMPLATE_PROMPTS))
     mixed = (
         openings.where("mixed")
         .join(found.select("clause", "root"), "clause")
@@ -243,8 +244,9 @@ def pair_defects(
     """id, field, defect: at most one row for each field of ``responses`` (id, prompt, the fields).
 
     ``fields`` says for each field whether it is required and must be complete (an answer) or may be null and cut short (a
-    summary). The checks, in order: ``empty``; ``echo``; ``refusal``, a response free of content whose opening has a
-    template that recurs under at least three prompts and none that says the book does not cover the matter; ``truncated``, required fields only; ``wrong_language``,
+    summary). The checks, in order: ``empty``; ``echo``; ``refusal``, a response whose opening has a template
+    that recurs under at least three prompts and none that says the book does not cover the matter; templates are collected from
+    responses free of content and looked up in all, where content follows only those that hardly ever stand beside it; ``truncated``, required fields only; ``wrong_language``,
     where prompt and response both have a sure language. A null prompt has no echo and no language. Repeated
     rows of ``responses`` give repeated rows. Known words come from ``sound``; their number is bounded and checked
     before they are broadcast.
@@ -314,8 +316,8 @@ def pair_defects(
         F.size(F.split("clause", " ")) >= TEMPLATE_WORDS
     )
     refused = (
-        openings.where("free")
-        .join(refusal_templates(openings), "clause")
+        openings.join(refusal_templates(openings), "clause")
+        .where("free or not mixed or pure or covers")
         .groupBy("row")
         .agg(F.bool_or("covers").alias("covers"))
         .where("not covers")

@@ -326,6 +326,15 @@ def test_refusals_that_name_their_subject(spark, sf_dir, net):
     assert sorted(r.result_id for r in got if r.defect == "refusal") == [0, 1, 2, 3, 10, 11, 12, 13]
 
 
+def test_refusals_in_plain_words(spark, sf_dir, net):
+    sound = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    answers = ["Regrettably, alas, I cannot help with this."] * 3 + ["I cannot help with this.", "This is the help."]
+    rows = [(i, f"Who gains seal {i} when a companion falls?", a, None) for i, a in enumerate(answers)]
+    df = spark.createDataFrame(rows, "result_id long, prompt string, answer string, spoken_summary string")
+    got = pairs.pair_defects(df, {"answer": True, "spoken_summary": False}, sound, "text", net, "result_id").collect()
+    assert sorted(r.result_id for r in got if r.defect == "refusal") == [0, 1, 2, 3]
+
+
 def test_nothing_else_imports_llm():
     import pathlib
 
