@@ -6,11 +6,29 @@ import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
-import regex
+import pandas as pd
 
 NEUTRAL = ""
-_DROP = regex.compile(r"[\p{Cf}\p{Mn}\p{Cc}]+")
-_GAP = regex.compile(r"[^\p{L}']+")
+
+
+class _Folded(dict):
+    """What each character becomes: small letters and apostrophes stay, marks and invisible signs go, the rest is a gap."""
+
+    def __missing__(self, code: int) -> str | None:
+        c = chr(code)
+        kind = unicodedata.category(c)
+        found: str | None = " "
+        if kind in ("Cf", "Mn", "Cc"):
+            found = None
+        elif kind[0] == "L":
+            found = c.lower()
+        elif c in "'’":
+            found = "'"
+        self[code] = found
+        return found
+
+
+_FOLDED = _Folded()
 
 
 @dataclass(frozen=True)
@@ -30,29 +48,37 @@ class NetParams:
 
 def letters(text: str) -> str:
     """Lower-case letters and single spaces: digits, signs, marks of combination and invisible characters go."""
-    text = unicodedata.normalize("NFC", text)
-    text = _DROP.sub("", text)
-    return _GAP.sub(" ", text.replace("’", "'").lower()).strip()
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text)
+    return " ".join(text.translate(_FOLDED).split())
 
 
 def without_accents(text: str) -> str:
     """``text`` as it looks when its accents were lost."""
-    return unicodedata.normalize("NFC", _DROP.sub("", unicodedata.normalize("NFD", text)))
+    plain = (c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) not in ("Cf", "Mn", "Cc"))
+    return unicodedata.normalize("NFC", "".join(plain))
 
 
-def windows(texts: list[str], p: NetParams) -> tuple[np.ndarray, np.ndarray]:
-    """Byte windows (n, window) padded with zeros, and the text each belongs to; every text has at least one."""
-    rows, owner = [], []
+def windows(texts: list[str], p: NetParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte windows, how many bytes each holds, and the text each belongs to; every text has at least one.
+
+    Rows are padded with zeros and have room for the widest filter to start at the last byte.
+    """
+    rows, size, owner = [], [], []
+    full = p.window + max(p.widths) - 1
     for i, text in enumerate(texts):
         raw = b" " + text.encode() + b" "
         at = 0
         while True:
-            rows.append(raw[at : at + p.window].ljust(p.window, b"\0"))
+            part = raw[at : at + p.window]
+            rows.append(part.ljust(full, b"\0"))
+            size.append(len(part))
             owner.append(i)
             if at + p.window >= len(raw):
                 break
             at += p.stride
-    return np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(-1, p.window), np.array(owner, dtype=np.int64)
+    x = np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(-1, full)
+    return x, np.array(size, dtype=np.int64), np.array(owner, dtype=np.int64)
 
 
 class ByteNet:
@@ -67,7 +93,7 @@ class ByteNet:
             self.w[f"k{width}"] = rng.normal(0, (width * p.dims) ** -0.5, (width * p.dims, p.filters))
             self.w[f"b{width}"] = np.zeros(p.filters)
         self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
-        self._tables: dict[int, list[np.ndarray]] | None = None
+        self._tables: list[np.ndarray] | None = None
 
     def fit(self, texts: list[str], labels: list[str]) -> ByteNet:
         """Adam on cross-entropy over random crops of the texts, each class drawn equally often."""
@@ -79,6 +105,7 @@ class ByteNet:
         m = {k: np.zeros_like(v) for k, v in w.items()}
         v2 = {k: np.zeros_like(v) for k, v in w.items()}
         where = {c: j for j, c in enumerate(self.labels)}
+        full = p.window + max(p.widths) - 1
         for step in range(1, p.steps + 1):
             picked = [c[rng.integers(len(c))] for c in (by_class[rng.integers(len(by_class))] for _ in range(p.batch))]
             rows = []
@@ -86,8 +113,8 @@ class ByteNet:
                 raw = raws[i]
                 size = int(rng.integers(min(20, len(raw)), min(p.window, len(raw)) + 1))
                 at = int(rng.integers(0, len(raw) - size + 1))
-                rows.append(raw[at : at + size].ljust(p.window, b"\0"))
-            x = np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(-1, p.window)
+                rows.append(raw[at : at + size].ljust(full, b"\0"))
+            x = np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(-1, full)
             grads = self._grads(x, np.array([where[labels[i]] for i in picked]), rng)
             for k, g in grads.items():
                 m[k] = 0.9 * m[k] + 0.1 * g
@@ -102,13 +129,14 @@ class ByteNet:
         emb = w["e"][x]
         pooled, kept = [], []
         for width in p.widths:
-            span = p.window - width + 1
-            cols = np.concatenate([emb[:, k : k + span] for k in range(width)], axis=2)
-            h = cols @ w[f"k{width}"] + w[f"b{width}"]
+            k = w[f"k{width}"]
+            h = emb[:, : p.window] @ k[: p.dims]
+            for j in range(1, width):
+                h += emb[:, j : j + p.window] @ k[j * p.dims : (j + 1) * p.dims]
             at = h.argmax(1)
-            top = np.take_along_axis(h, at[:, None, :], 1)[:, 0]
+            top = np.take_along_axis(h, at[:, None, :], 1)[:, 0] + w[f"b{width}"]
             pooled.append(np.maximum(top, 0))
-            kept.append((cols, at, top > 0))
+            kept.append((at, top > 0))
         f = np.concatenate(pooled, 1)
         drop = (rng.random(f.shape) > 0.2) / np.float32(0.8)
         z = (f * drop) @ w["o"] + w["c"]
@@ -119,36 +147,68 @@ class ByteNet:
         g = {"o": (f * drop).T @ d, "c": d.sum(0), "e": np.zeros_like(w["e"])}
         df = (d @ w["o"].T) * drop
         for j, width in enumerate(p.widths):
-            cols, at, on = kept[j]
+            at, on = kept[j]
             dp = df[:, j * p.filters : (j + 1) * p.filters] * on
             g[f"b{width}"] = dp.sum(0)
-            best = np.take_along_axis(cols, at[:, :, None], 1)
-            g[f"k{width}"] = np.einsum("nfc,nf->cf", best, dp)
-            back = dp[:, :, None] * w[f"k{width}"].T[None]
-            back = back.reshape(n, p.filters, width, p.dims)
             rows = at[:, :, None] + np.arange(width)
             byte = x[np.arange(n)[:, None, None], rows]
-            np.add.at(g["e"], byte.ravel(), back.reshape(-1, p.dims))
+            best = w["e"][byte].reshape(n, p.filters, width * p.dims)
+            g[f"k{width}"] = np.einsum("nfc,nf->cf", best, dp)
+            back = (dp[:, :, None] * w[f"k{width}"].T[None]).reshape(-1, p.dims)
+            at_byte = byte.ravel()
+            for c in range(p.dims):
+                g["e"][:, c] += np.bincount(at_byte, weights=back[:, c], minlength=256).astype(np.float32)
         return g
 
-    def _window_scores(self, x: np.ndarray) -> np.ndarray:
+    def _answers(self, grams: np.ndarray) -> np.ndarray:
+        """What every filter answers to each row of bytes, as wide as the widest filter, that starts at its first byte."""
         p, w = self.p, self.w
         if self._tables is None:
             # a filter's answer to a byte at one of its places does not depend on the rest: it is looked up
-            self._tables = {
-                width: [w["e"] @ w[f"k{width}"][k * p.dims : (k + 1) * p.dims] for k in range(width)] for width in p.widths
-            }
+            n = len(p.widths) * p.filters
+            self._tables = [np.zeros((256, n), dtype=np.float32) for _ in range(max(p.widths))]
+            for j, width in enumerate(p.widths):
+                own = slice(j * p.filters, (j + 1) * p.filters)
+                for k in range(width):
+                    self._tables[k][:, own] = w["e"] @ w[f"k{width}"][k * p.dims : (k + 1) * p.dims]
+        found = self._tables[0][grams[:, 0]]
+        for k, table in enumerate(self._tables[1:], 1):
+            found += table[grams[:, k]]
+        return found
+
+    def _window_scores(self, x: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Scores of windows. Each distinct run of bytes meets the filters once; pooling then only takes the greatest.
+
+        Windows go through by length, so that the padding of a short one costs nothing: its answer is a constant.
+        """
+        p, w = self.p, self.w
+        reach = max(p.widths)
         out = np.empty((len(x), len(self.labels)), dtype=np.float32)
-        for a in range(0, len(x), 512):
-            part = x[a : a + 512]
-            pooled = []
-            for width in p.widths:
-                span = p.window - width + 1
-                h = self._tables[width][0][part[:, :span]]
-                for k in range(1, width):
-                    h += self._tables[width][k][part[:, k : k + span]]
-                pooled.append(np.maximum(h.max(1) + w[f"b{width}"], 0))
-            out[a : a + 512] = np.concatenate(pooled, 1) @ w["o"] + w["c"]
+        bias = np.concatenate([w[f"b{width}"] for width in p.widths])
+        blank = self._answers(np.zeros((1, reach), dtype=np.uint8))[0]
+        order = np.argsort(-size, kind="stable")
+        for a in range(0, len(x), 4096):
+            rows = order[a : a + 4096]
+            part, left = x[rows], size[rows]
+            most = int(left[0])
+            code = np.zeros((len(rows), most), dtype=np.int64)
+            for k in range(reach):
+                code = (code << 8) | part[:, k : k + most]
+            # by place, then by row, so that each step below reads one stretch
+            inside = np.arange(most)[:, None] < left[None, :]
+            ids, distinct = pd.factorize(code.T[inside])
+            grams = (distinct[:, None] >> (8 * np.arange(reach - 1, -1, -1))) & 255
+            table = self._answers(grams)
+            alive = inside.sum(1)
+            top = np.full((len(rows), table.shape[1]), -np.inf, dtype=np.float32)
+            top[left < p.window] = blank
+            step, at = np.empty_like(top), 0
+            for n in alive.tolist():
+                got = step[:n]
+                np.take(table, ids[at : at + n], axis=0, out=got, mode="clip")
+                np.maximum(top[:n], got, out=top[:n])
+                at += n
+            out[rows] = np.maximum(top + bias, 0) @ w["o"] + w["c"]
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -156,8 +216,8 @@ class ByteNet:
         if not texts:
             return np.zeros((0, len(self.labels)), dtype=np.float32)
         distinct = list(dict.fromkeys(texts))
-        x, owner = windows(distinct, self.p)
-        z = self._window_scores(x)
+        x, size, owner = windows(distinct, self.p)
+        z = self._window_scores(x, size)
         z -= z.max(1, keepdims=True)
         z -= np.log(np.exp(z).sum(1, keepdims=True))
         total = np.zeros((len(distinct), z.shape[1]), dtype=np.float32)

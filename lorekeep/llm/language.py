@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -44,19 +47,34 @@ OTHERS = (
 _CODES = {name: code for code, names in NAMES.items() for name in names.split()}
 _OTHER = frozenset(OTHERS.split())
 
-_SEGMENT = regex.compile(
-    r"(?P<end>[.!?…]+[\p{Pe}\p{Pf}\p{Pi}\"'`´“„]*(?=\s|\Z)|[。！？]+[\p{Pe}\p{Pf}\"']*)|[\n\r\v\f\x1c-\x1e\x85\u2028\u2029]+"
+
+
+def _kinds(*wanted: str) -> str:
+    """A character class body of all characters of some Unicode categories."""
+    return "".join(re.escape(chr(c)) for c in range(0x10000) if unicodedata.category(chr(c)) in wanted)
+
+
+_SEGMENT = re.compile(
+    rf"(?P<end>[.!?…]+[{_kinds('Pe', 'Pf', 'Pi')}\"'`´“„]*(?=\s|\Z)|[。！？]+[{_kinds('Pe', 'Pf')}\"']*)"
+    r"|[\n\r\v\f\x1c-\x1e\x85\u2028\u2029]+"
 )
 _QUOTED = regex.compile(r"\s*[\"'“”„«»‘’‹›「『(\[].*[\"'“”„«»‘’‹›」』)\]][.!?…。]*\s*\Z", regex.DOTALL)
+_LETTER = re.compile(r"[^\W\d_]")
+_QUOTES = "\"'“”„«»‘’‹›「『(["
 
 
 def label_code(label: str | None) -> str | None:
-    """The language a label names: a code of ``NAMES``, ``other``, or null where it names none."""
+    """The language a label names: a code of ``NAMES``, ``other``, or null where it names none.
+
+    A code or name may be followed by a region, a script or an addition; behind a mere space a short code needs a region,
+    for in "no label" it is a word.
+    """
     if label is None:
         return None
     s = regex.sub(r"[\s\p{Cf}]+", " ", label).strip().lower()
-    head = regex.split(r"[-_ (/,;]", s, maxsplit=1)[0]
-    for name in (s, head):
+    head, rest = regex.match(r"([^-_ (/,;.]*)(.*)", s, regex.DOTALL).groups()
+    loose = len(head) < 4 and regex.match(r" (?![(\[]|\p{L}{2}\Z)", rest)
+    for name in (s,) if loose else (s, head):
         if name in _CODES:
             return _CODES[name]
         if name in _OTHER:
@@ -65,13 +83,18 @@ def label_code(label: str | None) -> str | None:
 
 
 def sentences(text: str) -> list[tuple[int, int, bool]]:
-    """(start, end, whether it is a whole sentence outside quotes) of the stretches of ``text`` with any letter."""
+    """(start, end, whether it is a whole sentence outside quotes) of the stretches of ``text`` with any letter.
+
+    ``start`` is that of the first character that is not white space.
+    """
     found, start = [], 0
     cuts = [(m.end(), m.group("end") is not None) for m in _SEGMENT.finditer(text)]
     for end, ended in [*cuts, (len(text), False)]:
         part = text[start:end]
-        if regex.search(r"\p{L}", part):
-            found.append((start, end, ended and not _QUOTED.match(part)))
+        if _LETTER.search(part):
+            bare = part.lstrip()
+            quoted = bare[0] in _QUOTES and _QUOTED.match(bare)
+            found.append((end - len(bare), end, ended and not quoted))
         start = end
     return found
 
@@ -96,12 +119,21 @@ def training_set(texts: list[str], labels: list[str]) -> tuple[list[str], list[s
     foreign = {"ru", "ja"}
     names = sorted(w for w, langs in seen.items() if w.isascii() and (len(langs) > 2 or langs & foreign))
     rng = np.random.default_rng(5)
+
+    def invented() -> str:
+        a, b = names[rng.integers(len(names))], names[rng.integers(len(names))]
+        return a if rng.random() < 0.3 else a[: len(a) // 2 // 2 * 2] + b[len(b) // 2 // 2 * 2 :]
+
     if names:
+        # a sentence keeps its language whatever names stand in it
+        for text, label in list(zip(x, y, strict=True)):
+            words = text.split()
+            if label not in foreign and len(words) > 4:
+                words.insert(int(rng.integers(1, len(words))), invented())
+                x.append(" ".join(words))
+                y.append(label)
         for _ in range(max(200, len(x) // 12)):
-            parts = []
-            for _ in range(int(rng.integers(1, 4))):
-                a, b = names[rng.integers(len(names))], names[rng.integers(len(names))]
-                parts.append(a if rng.random() < 0.3 else a[: len(a) // 2 // 2 * 2] + b[len(b) // 2 // 2 * 2 :])
+            parts = [invented() for _ in range(int(rng.integers(1, 4)))]
             if rng.random() < 0.3:
                 parts = [s for n in parts for s in (n, "d")]
             x.append(" ".join(parts))
@@ -109,8 +141,32 @@ def training_set(texts: list[str], labels: list[str]) -> tuple[list[str], list[s
     return x, y
 
 
-def fit_languages(samples: DataFrame, text_col: str = "text", lang_col: str = "lang", p: NetParams | None = None) -> ByteNet:
-    """A network for the languages of at most ``MAX_SAMPLES`` labelled rows, the first by hash."""
+class WordVotes:
+    """Which language the words of a text speak for, learned from labelled texts; names in several languages say nothing."""
+
+    def __init__(self, texts: list[str], labels: list[str]) -> None:
+        self.labels = sorted(set(labels))
+        seen = {lang: Counter() for lang in self.labels}
+        for text, lang in zip(texts, labels, strict=True):
+            seen[lang].update(letters(text).split())
+        words = {w for c in seen.values() for w in c}
+        total = {lang: sum(c.values()) + 0.1 * len(words) for lang, c in seen.items()}
+        self.votes: dict[str, np.ndarray] = {}
+        for w in words:
+            v = np.array([np.log((seen[lang][w] + 0.1) / total[lang]) for lang in self.labels])
+            self.votes[w] = np.maximum(v - v.max(), -4.0)
+
+    def score(self, clean: str) -> np.ndarray:
+        """Sum of the votes of the words of ``letters(text)``."""
+        found = [self.votes[w] for w in clean.split() if w in self.votes]
+        return np.sum(found, axis=0) if found else np.zeros(len(self.labels))
+
+
+_FITTED: dict[str, ByteNet] = {}
+
+
+def labelled_rows(samples: DataFrame, text_col: str, lang_col: str) -> list[tuple[str, str]]:
+    """At most ``MAX_SAMPLES`` labelled rows, the first by hash."""
     rows = (
         samples.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
         .select(text_col, lang_col)
@@ -118,8 +174,23 @@ def fit_languages(samples: DataFrame, text_col: str = "text", lang_col: str = "l
         .limit(MAX_SAMPLES)
         .collect()
     )
-    x, y = training_set([r[0] for r in rows], [r[1] for r in rows])
-    return ByteNet(sorted(set(y)), p or NetParams()).fit(x, y)
+    return [(r[0], r[1]) for r in rows]
+
+
+def fit_languages(samples: DataFrame, text_col: str = "text", lang_col: str = "lang", p: NetParams | None = None) -> ByteNet:
+    """A network for the languages of at most ``MAX_SAMPLES`` labelled rows; equal rows are fitted once a process."""
+    rows = labelled_rows(samples, text_col, lang_col)
+    key = hashlib.sha256(repr((rows, p)).encode()).hexdigest()
+    if key not in _FITTED:
+        x, y = training_set([r[0] for r in rows], [r[1] for r in rows])
+        _FITTED[key] = ByteNet(sorted(set(y)), p or NetParams()).fit(x, y)
+    return _FITTED[key]
+
+
+def fit_words(samples: DataFrame, text_col: str = "text", lang_col: str = "lang") -> WordVotes:
+    """Word votes of at most ``MAX_SAMPLES`` labelled rows."""
+    rows = labelled_rows(samples, text_col, lang_col)
+    return WordVotes([r[0] for r in rows], [r[1] for r in rows])
 
 
 def best_path(scores: np.ndarray, sure: np.ndarray) -> np.ndarray:
@@ -140,32 +211,63 @@ def best_path(scores: np.ndarray, sure: np.ndarray) -> np.ndarray:
     return path
 
 
-def runs_of(text: str, parts: list[tuple[int, int, bool]], scores: np.ndarray, labels: list[str]) -> list[tuple]:
-    """(start, end, label, confidence) of the maximal runs in one language; empty where nothing has a language."""
-    if not parts:
-        return []
-    langs = [j for j, name in enumerate(labels) if name != NEUTRAL]
-    neutral = labels.index(NEUTRAL) if NEUTRAL in labels else None
-    voices = np.ones(len(parts), bool) if neutral is None else scores.argmax(1) != neutral
-    if not voices.any():
-        return []
-    whole = np.array([w for _, _, w in parts]) & voices
-    sure = whole if whole.any() else voices
+def runs_of(texts: list[str], net: ByteNet) -> list[list[tuple]]:
+    """(start, end, label, confidence) of the maximal runs in one language of each text; none where nothing has a language.
+
+    The sentences of all texts are scored together. Where all sentences of a text are most likely in the same language the
+    best path is that language; only other texts need the path itself.
+    """
+    parts = [sentences(t) for t in texts]
+    flat = [p for ps in parts for p in ps]
+    if not flat:
+        return [[] for _ in texts]
+    scores = net.scores([letters(t[a:b]) for t, ps in zip(texts, parts, strict=True) for a, b, _ in ps])
+    langs = [j for j, name in enumerate(net.labels) if name != NEUTRAL]
+    names = [net.labels[j] for j in langs]
     own = scores[:, langs]
     own = own - np.log(np.exp(own).sum(1, keepdims=True))
-    path = best_path(own, sure)
-    found: list[list] = []
-    for i in np.flatnonzero(sure):
-        a, b, _ = parts[i]
-        a += len(text[a:b]) - len(text[a:b].lstrip())
-        if found and found[-1][2] == path[i]:
-            found[-1][1] = b
-            found[-1][3].append((b - a, float(np.exp(own[i, path[i]]))))
-        else:
-            found.append([a, b, path[i], [(b - a, float(np.exp(own[i, path[i]])))]])
-    return [
-        (a, b, labels[langs[k]], round(sum(n * c for n, c in w) / sum(n for n, _ in w), 6)) for a, b, k, w in found
-    ]
+    if NEUTRAL in net.labels:
+        voices = (scores.argmax(1) != net.labels.index(NEUTRAL)).tolist()
+    else:
+        voices = [True] * len(flat)
+    best = own.argmax(1).tolist()
+    found: list[list[tuple]] = []
+    at = 0
+    for ps in parts:
+        lo, at = at, at + len(ps)
+        sure = [i for i in range(lo, at) if voices[i] and flat[i][2]] or [i for i in range(lo, at) if voices[i]]
+        if not sure:
+            found.append([])
+            continue
+        path = best
+        if any(best[i] != best[sure[0]] for i in sure):
+            mask = np.zeros(at - lo, bool)
+            mask[np.array(sure) - lo] = True
+            path = dict(enumerate(best_path(own[lo:at], mask).tolist(), lo))
+        runs: list[list] = []
+        for i in sure:
+            a, b, _ = flat[i]
+            weight = (b - a, float(np.exp(own[i, path[i]])))
+            if runs and runs[-1][2] == path[i]:
+                runs[-1][1] = b
+                runs[-1][3].append(weight)
+            else:
+                runs.append([a, b, path[i], [weight]])
+        found.append(
+            [(a, b, names[k], round(sum(n * c for n, c in w) / sum(n for n, _ in w), 6)) for a, b, k, w in runs]
+        )
+    return found
+
+
+def main_language(runs: list[tuple]) -> tuple[str | None, float | None]:
+    """The language with most characters and its confidence, the mean over its runs by length."""
+    size: Counter = Counter()
+    for a, b, lang, _ in runs:
+        size[lang] += b - a
+    if not size:
+        return None, None
+    main = min(size, key=lambda k: (-size[k], k))
+    return main, sum((b - a) * c for a, b, lang, c in runs if lang == main) / size[main]
 
 
 def language_runs(df: DataFrame, model: ByteNet, id_col: str, text_col: str, *keep: str) -> DataFrame:
@@ -190,22 +292,10 @@ def language_runs(df: DataFrame, model: ByteNet, id_col: str, text_col: str, *ke
             for a in range(0, len(frame), 2000):
                 part = frame.iloc[a : a + 2000]
                 texts = [t if isinstance(t, str) else "" for t in part.iloc[:, len(names)]]
-                parts = [sentences(t) for t in texts]
-                clean = [letters(t[a:b]) for t, ps in zip(texts, parts, strict=True) for a, b, _ in ps]
-                scores = net.scores(clean)
-                out, at = [], 0
-                for t, ps in zip(texts, parts, strict=True):
-                    found = runs_of(t, ps, scores[at : at + len(ps)], net.labels)
-                    at += len(ps)
-                    size: Counter = Counter()
-                    for s, e, lang, _ in found:
-                        size[lang] += e - s
-                    main = min(size, key=lambda k: (-size[k], k)) if size else None
-                    mine = [(e - s, c) for s, e, lang, c in found if lang == main]
-                    conf = sum(n * c for n, c in mine) / sum(n for n, _ in mine) if mine else None
-                    out.append((main, conf, found))
+                runs = runs_of(texts, net)
+                mains = [main_language(r) for r in runs]
                 yield part.iloc[:, : len(names)].assign(
-                    main=[o[0] for o in out], confidence=[o[1] for o in out], runs=[o[2] for o in out]
+                    main=[m for m, _ in mains], confidence=[c for _, c in mains], runs=runs
                 )
 
     return spread(df.select(*names, text_col), id_col).mapInPandas(run, schema)
@@ -213,7 +303,12 @@ def language_runs(df: DataFrame, model: ByteNet, id_col: str, text_col: str, *ke
 
 def label_defects(runs: DataFrame, id_col: str, label_col: str) -> DataFrame:
     """id, defect, seg_start, lang: labels that are missing or wrong, and each run of a text in several languages."""
-    code = F.pandas_udf(lambda s: s.map(label_code, na_action="ignore"), "string")(F.col(label_col))
+
+    def codes(labels: pd.Series) -> pd.Series:
+        found = {x: label_code(x) for x in labels.dropna().unique()}
+        return pd.Series([found.get(x) for x in labels], dtype=object)
+
+    code = F.pandas_udf(codes, "string")(F.col(label_col))
     # one pass: the defects of a row are gathered in an array, so the texts are read and scored once
     checked = runs.where("main is not null").withColumn("__code", code)
     shape = "array<struct<defect:string,seg_start:int,lang:string>>"
