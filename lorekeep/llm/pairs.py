@@ -2,46 +2,63 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.llm.bytecnn import NEUTRAL, ByteNet, letters
-from lorekeep.llm.language import runs_of, sentences
+from lorekeep.llm.language import WordVotes
 from lorekeep.llm.spread import spread
 from lorekeep.session import cut
 
-# openings are the first clauses of a response; a template has at least so many words and unrelated prompts
-OPENING_CLAUSES = 4
-TEMPLATE_WORDS = 4
+# a template recurs under so many unrelated prompts
 TEMPLATE_PROMPTS = 3
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 16, 4
 # a clause with at least this share of words that sound text never uses is free of content
 FREE_SHARE = 0.25
-# a clause with so many words is content if fewer than this share of them are strange, or if it holds a digit
-PLAIN_SHARE = 0.125
+# a clause of at least so many words is content if fewer than this share of them are strange, or if it holds a digit;
+# a shorter one is a template only if it has two strange words, for short sound answers recur too
+CLAUSE_WORDS, PLAIN_SHARE = 4, 0.125
 # a template that stands beside content under more than these shares of its prompts reports on the book, or answers
 MIXED_SLOT, MIXED = 0.1, 0.5
 # up to so many prompts that evidence is thin, and naming the source decides
 SURE_PROMPTS = 20
 NAME = "<name>"
-# words in at least this share of the sound texts, and in two of them, are known; so many at most
-KNOWN_SHARE, MAX_WORDS = 0.0005, 200_000
-SURE = 0.8
+# words with at least one in so many of all pairs of text and word, and in two texts, are known: never more than that many
+KNOWN_OF = 200_000
+# a language is sure if it leads the next by so much, in log-probability
+LEAD = 3.0
+# a lead-in to a repeated prompt has at most so many words, or as many as the prompt
+LEAD_IN = 8
 
 # fixed values: stand-ins for an answer that is not there, as their letters
 STAND_INS = frozenset(
-    "none null nil na nan tbd tba tbc todo undefined empty blank pending missing unknown noanswer noresponse noreply "
-    "notavailable notapplicable nodata nothing keine keineantwort keineangabe ka nichts nichtverfügbar aucune "
-    "aucuneréponse sansréponse pasderéponse nondisponible rien ninguna ninguno sinrespuesta nodisponible nada nessuna "
-    "nessunarisposta nienterisposta semresposta nenhuma geen geenantwoord brakodpowiedzi brak нетответа нет 回答なし なし"
+    "none null nil na nan tbd tba tbc todo undefined empty blank pending missing unknown ka nichts nichtverfügbar "
+    "rien nada brak нет なし 回答なし"
     .split()
 )
+# fixed values: words that deny, what they deny, and words between, in the ten languages
+DENIALS = frozenset(
+    "no not none without kein keine keinen ohne nicht aucun aucune sans pas sin ningún ninguna ninguno nessun nessuna senza non "
+    "sem nenhum nenhuma não geen zonder niet brak nie bez нет без не".split()
+)
+VOIDS = frozenset(
+    "answer answers response reply data content text information info value entry result results output summary available "
+    "applicable provided given found specified set antwort angabe angaben daten inhalt verfügbar vorhanden réponse réponses "
+    "donnée données contenu disponible respuesta respuestas dato datos contenido risposta risposte dati contenuto resposta "
+    "respostas dados conteúdo disponível antwoord gegevens inhoud beschikbaar odpowiedzi danych treści dostępne ответа данных "
+    "ответ данные доступно".split()
+)
+BETWEEN = frozenset("a an any de is was yet to for".split())
 
 # fixed values: what an answer calls its source when it says that the matter is not covered
 SOURCE_WORDS = tuple(
@@ -68,21 +85,37 @@ def bare(text: str) -> str:
 
 
 def is_empty(value: str | None) -> bool:
-    """Whether nothing, or only a stand-in for nothing, is there."""
+    """Whether nothing, or only a stand-in for nothing, is there: a fixed word, or a denial and what it denies."""
     s = bare(value or "")
-    return not s or s in STAND_INS or unicodedata.normalize("NFC", (value or "").strip(" []()<>{}\"'.")).casefold().replace(" ", "") in STAND_INS
+    if not s or s in STAND_INS:
+        return True
+    words = regex.findall(r"[\p{L}\p{M}]+", unicodedata.normalize("NFC", value or "").casefold())
+    if "".join(words) in STAND_INS:
+        return True
+    kinds = {("deny" if w in DENIALS else "void" if w in VOIDS else "between" if w in BETWEEN else "other") for w in words}
+    return not any(c.isdigit() for c in s) and "other" not in kinds and {"deny", "void"} <= kinds
 
 
 def is_echo(value: str, prompt: str | None) -> bool:
-    """Whether the response is the prompt once or more, with at most a short lead-in and nothing after it."""
-    q, s = bare(prompt or ""), bare(value)
-    if len(q) < 6 or q not in s:
-        return False
-    if s[s.rindex(q) + len(q) :]:
+    """Whether the response is the prompt once or more, with at most a short lead-in and nothing after it.
+
+    Words are compared without case, accents and signs, so a prompt of any length is found.
+    """
+    q = [w for w in (bare(x) for x in regex.findall(r"[\p{L}\p{N}\p{M}]+", prompt or "")) if w]
+    s = [w for w in (bare(x) for x in regex.findall(r"[\p{L}\p{N}\p{M}]+", value)) if w]
+    if not q or not s:
         return False
-    before = s[: s.index(q)]
-    between = s[len(before) :].replace(q, "")
-    return not between and len(before) <= 40
+    whole = "".join(q)
+    if "".join(s) == whole * (len("".join(s)) // len(whole)):
+        return True
+    n = len(s)
+    while n >= len(q) and s[n - len(q) : n] == q:
+        n -= len(q)
+    return n < len(s) and n <= max(LEAD_IN, len(q)) and not _holds(s[:n], q)
+
+
+def _holds(words: list[str], part: list[str]) -> bool:
+    return any(words[i : i + len(part)] == part for i in range(len(words) - len(part) + 1))
 
 
 def is_truncated(value: str) -> bool:
@@ -112,97 +145,144 @@ def is_truncated(value: str) -> bool:
 def clauses_of(value: str, known: frozenset[str], names: frozenset[str]) -> tuple[list[tuple[str, bool]], bool]:
     """The opening clauses, each with whether content stands beside it, and whether the response is free of content.
 
-    Names become a slot, so a clause that names its subject is the same for every subject; a clause of names only, like
-    a heading, is passed over. A response is free of content if enough of its words other than names are strange: words
-    that sound text never uses.
+    The opening goes up to the first clause of content, that one included; a response without content is all opening. Names
+    become a slot, so a clause that names its subject is the same for every subject; a clause of names only, like a
+    heading, is passed over. A response is free of content if enough of its words other than names are strange:
+    words that sound text never uses.
     """
     found, plain = [], []
     total = strange = 0
+    opening = True
     for part in _CLAUSE.split(value):
         words = letters(part).split()
         digit = any(c.isdigit() for c in part)
         if not words:
             plain.append(digit)
+            opening = opening and not digit
             continue
         others = [w for w in words if w not in names]
         if not others and not digit:
             continue
         odd = sum(w not in known for w in others)
         total, strange = total + len(others), strange + odd
-        plain.append(digit or (len(words) >= TEMPLATE_WORDS and odd < PLAIN_SHARE * len(others)))
-        masked = [NAME if w in names else w for w in words]
-        found.append((len(plain) - 1, " ".join(w for i, w in enumerate(masked) if w != NAME or masked[i - 1 : i] != [NAME])))
+        plain.append(digit or (len(words) >= CLAUSE_WORDS and odd < PLAIN_SHARE * len(others)))
+        if opening and (len(words) >= CLAUSE_WORDS or odd > 1):
+            masked = [NAME if w in names else w for w in words]
+            found.append((len(plain) - 1, " ".join(w for i, w in enumerate(masked) if w != NAME or masked[i - 1 : i] != [NAME])))
+        opening = opening and not plain[-1]
     beside = sum(plain)
     free = total > 0 and strange >= FREE_SHARE * total
-    return [(clause, beside > plain[i]) for i, clause in found[:OPENING_CLAUSES]], free
+    return [(clause, beside > plain[i]) for i, clause in found], free
+
+
+_WORD = re.compile(r"[^\W\d_]+")
+_INSIDE = re.compile(r"[^\W_A-Z],? ([^\W\d_]+)")
+
+
+def word_counts(texts: Iterator[str]) -> tuple[Counter, Counter, Counter]:
+    """Texts that hold each word, that hold it in small letters, and that hold it capitalised inside a sentence."""
+    held, lower, capital = Counter(), Counter(), Counter()
+    for text in texts:
+        words = set(_WORD.findall(text))
+        held.update({w.lower() for w in words})
+        lower.update(w for w in words if w[0].islower())
+        capital.update({w.lower() for w in _INSIDE.findall(text) if len(w) > 1 and w[0].isupper()})
+    return held, lower, capital
 
 
 def sound_words(texts: DataFrame, text_col: str) -> DataFrame:
     """word, df, lower, capital: texts that hold a word, hold it in small letters, hold it capitalised inside a sentence.
 
-    Only words in at least ``KNOWN_SHARE`` of the texts, and in two; since a text has a bounded number of words on
-    average, their number is bounded by that average over the share whatever the size of the corpus.
+    Only words in two texts and with at least one in ``KNOWN_OF`` of all pairs of text and word, so there are never more
+    than ``KNOWN_OF``, whatever the corpus. Counts of a batch are combined before the shuffle.
     """
-    t = F.col(text_col)
-    some = texts.where(t.isNotNull()).select(
-        F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit(r"(\p{L}+)"))).alias("w"),
-        F.array_distinct(F.regexp_extract_all(t, F.lit(r"(?<![\p{L}])(\p{Ll}\p{L}*)"))).alias("l"),
-        F.array_distinct(
-            F.transform(F.regexp_extract_all(t, F.lit(r"(?<=[\p{Ll}\p{N}],? )(\p{Lu}\p{L}+)")), F.lower)
-        ).alias("c"),
-    )
-    each = some.select(F.explode("w").alias("word"), "l", "c").select(
-        "word",
-        F.array_contains("l", F.col("word")).cast("int").alias("lower"),
-        F.array_contains("c", F.col("word")).cast("int").alias("capital"),
-    )
-    counted = each.groupBy("word").agg(
-        F.count(F.lit(1)).alias("df"), F.sum("lower").alias("lower"), F.sum("capital").alias("capital")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            held, lower, capital = word_counts(t for t in frame.iloc[:, 0] if isinstance(t, str))
+            words = list(held)
+            yield pd.DataFrame(
+                {
+                    "word": pd.Series(words, dtype=object),
+                    "df": np.array([held[w] for w in words], dtype=np.int64),
+                    "lower": np.array([lower[w] for w in words], dtype=np.int64),
+                    "capital": np.array([capital[w] for w in words], dtype=np.int64),
+                }
+            )
+
+    some = texts.where(F.col(text_col).isNotNull()).select(text_col)
+    # read for the total and for the words
+    counted = cut(
+        some.mapInPandas(run, "word string, df long, lower long, capital long")
+        .groupBy("word")
+        .agg(*(F.sum(c).alias(c) for c in ("df", "lower", "capital")))
     )
-    total = texts.where(t.isNotNull()).agg(F.count(F.lit(1)).alias("n_texts"))
+    total = counted.agg(F.sum("df").alias("pairs"))
     return (
-        counted.crossJoin(F.broadcast(total))  # one row
-        .where((F.col("df") >= 2) & (F.col("df") >= F.lit(KNOWN_SHARE) * F.col("n_texts")))
-        .drop("n_texts")
+        counted.where(F.col("df") >= 2)
+        .crossJoin(F.broadcast(total))  # one row
+        .where(F.col("df") * F.lit(KNOWN_OF) >= F.col("pairs"))
+        .drop("pairs")
     )
 
 
 def template_clauses(openings: DataFrame) -> DataFrame:
     """clause, root, prompts: clauses of openings (clause, prompt), their cluster and the unrelated prompts it recurs under.
 
-    Clauses are clustered by MinHash over shingles of five words (a shorter clause is one shingle): per band, every clause is
-    compared with the least clause of its bucket and joins it if the Jaccard similarity is at least 0.8. Exact
-    repeats are combined before, and each bucket links to one member, so a hot bucket makes no pairs.
+    Clauses are clustered by MinHash over shingles of five words (a shorter clause is one shingle): distinct clauses
+    that share a band are compared, and those with a Jaccard similarity of at least 0.8 are linked; clusters are the
+    connected components of all links. Clauses of one shingle have no near ones, so only long clauses enter the bands.
     """
     distinct = openings.distinct()
     words = F.split("clause", " ")
-    shingles = F.when(
-        F.size(words) > SHINGLE,
-        F.transform(F.sequence(F.lit(1), F.size(words) - SHINGLE + 1), lambda i: F.array_join(F.slice(words, i, SHINGLE), " ")),
-    ).otherwise(F.array(F.col("clause")))
-    clauses = distinct.select("clause").distinct().withColumn("sh", F.array_distinct(shingles))
-    least = [
-        F.array_min(F.transform("sh", lambda s, k=k: F.xxhash64(s, F.lit(k)))) for k in range(BANDS * ROWS)
-    ]
-    signed = clauses.withColumn("sig", F.array(*least))
-    banded = signed.select(
+    long = distinct.select("clause").distinct().where(F.size(words) > SHINGLE)
+    shingles = F.transform(
+        F.sequence(F.lit(1), F.size(words) - SHINGLE + 1), lambda i: F.array_join(F.slice(words, i, SHINGLE), " ")
+    )
+    held = long.withColumn("sh", F.array_distinct(shingles))
+    least = [F.array_min(F.transform("sh", lambda s, k=k: F.xxhash64(s, F.lit(k)))) for k in range(BANDS * ROWS)]
+    banded = held.withColumn("sig", F.array(*least)).select(
         "clause", "sh", F.posexplode(F.array(*(F.xxhash64(F.slice("sig", b * ROWS + 1, ROWS)) for b in range(BANDS)))).alias("band", "h")
     )
-    heads = banded.groupBy("band", "h").agg(F.min_by("sh", "clause").alias("head_sh"), F.min("clause").alias("head"))
-    both = F.size(F.array_intersect("sh", "head_sh"))
-    linked = (
-        banded.join(heads, ["band", "h"])
-        .where(both / (F.size("sh") + F.size("head_sh") - both) >= SIMILAR)
-        .groupBy("clause")
-        .agg(F.min("head").alias("head"))
+    # a bucket of one clause, as nearly all are, has no link
+    several = banded.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "h")
+    shared = banded.join(several, ["band", "h"])
+    other = shared.select("band", "h", F.col("clause").alias("b"), F.col("sh").alias("sh_b"))
+    both = F.size(F.array_intersect("sh", "sh_b"))
+    links = cut(
+        shared.join(other, ["band", "h"])
+        .where((F.col("clause") != F.col("b")) & (both / (F.size("sh") + F.size("sh_b") - both) >= SIMILAR))
+        .select(F.col("clause").alias("a"), "b")
+        .distinct()
     )
-    # one step further: a head that itself belongs to another head
-    onward = linked.select(F.col("clause").alias("head"), F.col("head").alias("root"))
-    rooted = linked.join(onward, "head").select("clause", "root")
+    every = distinct.select("clause").distinct()
+    roots = every.withColumn("root", F.col("clause"))
+    if not links.isEmpty():
+        labels = components(links).select(F.col("node").alias("clause"), F.col("label").alias("root"))
+        roots = every.join(labels, "clause", "left").withColumn("root", F.coalesce("root", "clause"))
     support = (
-        distinct.join(rooted, "clause").select("root", "prompt").distinct().groupBy("root").agg(F.count(F.lit(1)).alias("prompts"))
+        distinct.join(roots, "clause").select("root", "prompt").distinct().groupBy("root").agg(F.count(F.lit(1)).alias("prompts"))
     )
-    return rooted.join(support, "root").select("clause", "root", "prompts")
+    return roots.join(support, "root").select("clause", "root", "prompts")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """node, label: the least node that each node of ``links`` (a, b, given both ways) is connected with.
+
+    Least labels spread along the links, and each node also takes the label of its label, until nothing changes.
+    """
+    labels = cut(links.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")))
+    for _ in itertools.count():
+        near = links.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        far = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        grown = cut(
+            labels.join(near, "node")
+            .join(far, "label", "left")
+            .select("node", F.least("label", "near", "far").alias("label"), F.col("label").alias("before"))
+        )
+        if grown.where("label <> before").isEmpty():
+            return grown.select("node", "label")
+        labels = grown.select("node", "label")
 
 
 def refusal_templates(openings: DataFrame) -> DataFrame:
@@ -239,23 +319,29 @@ def refusal_templates(openings: DataFrame) -> DataFrame:
 
 
 def pair_defects(
-    responses: DataFrame, fields: dict[str, bool], sound: DataFrame, sound_col: str, model: ByteNet, id_col: str
+    responses: DataFrame,
+    fields: dict[str, bool],
+    sound: DataFrame,
+    sound_col: str,
+    model: ByteNet,
+    votes: WordVotes,
+    id_col: str,
 ) -> DataFrame:
     """id, field, defect: at most one row for each field of ``responses`` (id, prompt, the fields).
 
     ``fields`` says for each field whether it is required and must be complete (an answer) or may be null and cut short (a
-    summary). The checks, in order: ``empty``; ``echo``; ``refusal``, a response whose opening has a template
-    that recurs under at least three prompts and none that says the book does not cover the matter; templates are collected from
-    responses free of content and looked up in all, where content follows only those that hardly ever stand beside it; ``truncated``, required fields only; ``wrong_language``,
-    where prompt and response both have a sure language. A null prompt has no echo and no language. Repeated
-    rows of ``responses`` give repeated rows. Known words come from ``sound``; their number is bounded and checked
-    before they are broadcast.
+    summary). The checks, in order: ``empty``; ``echo``; ``refusal``, a response whose opening has a template that recurs
+    under at least three prompts and none that says the book does not cover the matter; templates are collected from
+    responses free of content and looked up in all, where content follows only those that hardly ever stand beside
+    it; ``truncated``, required fields only; ``wrong_language``, where prompt and response both have a sure language.
+    A null prompt has no echo and no language. Repeated rows of ``responses`` give repeated rows. Known words come
+    from ``sound``; there are at most ``KNOWN_OF`` of them, so they are broadcast.
     """
     spark = responses.sparkSession
-    words = sound_words(sound, sound_col).orderBy(F.col("df").desc(), "word").limit(MAX_WORDS).collect()
+    words = sound_words(sound, sound_col).collect()
     known = frozenset(r["word"] for r in words)
     names = frozenset(r["word"] for r in words if r["capital"] >= 0.3 * r["df"] and r["lower"] * 20 < r["capital"])
-    shipped = spark.sparkContext.broadcast((known, names, model))
+    shipped = spark.sparkContext.broadcast((known, names, model, votes))
     kind = responses.schema[id_col].dataType.simpleString()
     optional = [f for f, required in fields.items() if not required]
     rows = responses.select(
@@ -266,7 +352,7 @@ def pair_defects(
     rows = rows.where(F.col("value").isNotNull() | ~F.col("field").isin(optional))
 
     def inspect(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, names, net = shipped.value
+        known, names, net, votes = shipped.value
         for frame in frames:
             n = len(frame)
             defect: list[str | None] = [None] * n
@@ -286,8 +372,8 @@ def pair_defects(
                         defect[i] = "truncated"
                     else:
                         rest.append(i)
-            spoken = _languages([values[i] for i in rest], net)
-            asked = dict(zip(dict.fromkeys(prompts), _languages([p or "" for p in dict.fromkeys(prompts)], net), strict=True))
+            spoken = languages_of([values[i] for i in rest], net, votes, names)
+            asked = dict(zip(dict.fromkeys(prompts), languages_of([p or "" for p in dict.fromkeys(prompts)], net, votes, names), strict=True))
             for i, mine in zip(rest, spoken, strict=True):
                 theirs = asked[prompts[i]]
                 if mine and theirs and mine != theirs:
@@ -312,9 +398,7 @@ def pair_defects(
         )
     )
     tagged = seen.withColumn("row", F.monotonically_increasing_id())
-    openings = tagged.select("row", "prompt", "free", F.inline(F.arrays_zip(F.col("clauses").alias("clause"), "mixed"))).where(
-        F.size(F.split("clause", " ")) >= TEMPLATE_WORDS
-    )
+    openings = tagged.select("row", "prompt", "free", F.inline(F.arrays_zip(F.col("clauses").alias("clause"), "mixed")))
     refused = (
         openings.join(refusal_templates(openings), "clause")
         .where("free or not mixed or pure or covers")
@@ -329,18 +413,16 @@ def pair_defects(
     )
 
 
-def _languages(texts: list[str], net: ByteNet) -> list[str | None]:
-    """The sure main language of each text, null where there is none."""
-    parts = [sentences(t) for t in texts]
-    scores = net.scores([letters(t[a:b]) for t, ps in zip(texts, parts, strict=True) for a, b, _ in ps])
-    found, at = [], 0
-    for t, ps in zip(texts, parts, strict=True):
-        size: dict[str, float] = {}
-        weight: dict[str, float] = {}
-        for s, e, lang, conf in runs_of(t, ps, scores[at : at + len(ps)], net.labels):
-            size[lang] = size.get(lang, 0) + e - s
-            weight[lang] = weight.get(lang, 0) + (e - s) * conf
-        at += len(ps)
-        main = max(size, key=lambda k: (size[k], k)) if size else None
-        found.append(main if main and main != NEUTRAL and weight[main] / size[main] >= SURE else None)
+def languages_of(texts: list[str], net: ByteNet, votes: WordVotes, names: frozenset[str]) -> list[str | None]:
+    """The sure language of each text, null where there is none: network and words together, without names."""
+    clean = [" ".join(w for w in letters(t).split() if w not in names) for t in texts]
+    scores = net.scores(clean)
+    at = [net.labels.index(lang) for lang in votes.labels]
+    found: list[str | None] = []
+    for text, own in zip(clean, scores, strict=True):
+        both = own[at] + votes.score(text)
+        order = np.argsort(-both)
+        lead = both[order[0]] - both[order[1]] if len(order) > 1 else LEAD
+        silent = NEUTRAL in net.labels and net.labels[int(own.argmax())] == NEUTRAL and not any(w in votes.votes for w in text.split())
+        found.append(votes.labels[order[0]] if text and not silent and lead >= LEAD else None)
     return found
