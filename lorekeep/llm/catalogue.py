@@ -142,7 +142,7 @@ keyed AS (SELECT * FROM lines WHERE key <> ''),
 counts AS (SELECT doc_id, key, count(DISTINCT page_number) AS n FROM keyed GROUP BY 1, 2),
 members AS (
   SELECT a.doc_id, a.key AS line, b.key FROM counts a JOIN counts b ON a.doc_id = b.doc_id AND (
-    a.key = b.key OR (length(a.key) BETWEEN length(b.key) - 1 AND length(b.key) + 1 AND length(b.key) >= 6
+    a.key = b.key OR (length(a.key) BETWEEN length(b.key) - 1 AND length(b.key) + 1
       AND b.n <= a.n AND levenshtein(a.key, b.key) <= 1))
   WHERE a.n > 1
 ),

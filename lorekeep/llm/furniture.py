@@ -1,164 +1,170 @@
 """Lines repeated across one source's documents, found by growing frequent line sequences per source.
 
-The lines of a page are a sequence of line identifiers, the pages of a source its sequence database. Growth starts
-with the lines that alone have enough support; a longer sequence has support only where each of its lines has, so the
-lines to delete are settled at the first level and the later levels say which of them travel together.
+The lines of a page are a sequence of line identifiers, the pages of a source its sequence database. PrefixSpan starts with
+the lines that alone have enough support and grows them down the pages until no sequence is frequent; what is deleted
+are the occurrences of the lines of frequent sequences, single lines included.
 """
 
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorekeep.llm.spread import if_small
 from lorekeep.session import cut
 
-# shorter keys are compared exactly: with one letter free, most short words are alike
-FUZZY_FROM = 6
 
+def page_keys(content: Column) -> Column:
+    """One key for each line between line feeds: its letters, without letter case, white space, digits, punctuation, signs."""
+    return F.split(F.regexp_replace(F.lower(content), r"[^\p{L}\n]+", ""), "\n")
 
-def line_key(line: Column) -> Column:
-    """What is left of a line without letter case, white space, digits, punctuation and signs: its letters."""
-    return F.regexp_replace(F.lower(line), r"[^\p{L}]+", "")
 
-
-def page_lines(pages: DataFrame, source: str, page: str, content: str) -> DataFrame:
-    """source, page, line_no, key: the lines with at least one letter; lines lie between line feeds."""
-    return (
-        pages.select(
-            F.col(source).alias("source"), F.col(page).alias("page"), F.posexplode(F.split(content, "\n")).alias("line_no", "line")
-        )
-        .select("source", "page", "line_no", line_key(F.col("line")).alias("key"))
-        .where(F.col("key") != "")
-    )
+def keyed_pages(pages: DataFrame, source: str, page: str, content: str) -> DataFrame:
+    """source, page, keys: the keys of every page's lines in order, empty where a line has no letter."""
+    return pages.select(F.col(source).alias("source"), F.col(page).alias("page"), page_keys(F.col(content)).alias("keys"))
 
 
-def _halves(key: Column) -> Column:
-    """Hashes of the halves that two keys share if one letter differs, is missing or is added.
+def _halves(source: Column, key: Column) -> Column:
+    """Hashes of the halves that two keys of a source share if one letter differs, is missing or is added.
 
     For lengths m and m or m + 1 either the first or the last m // 2 letters agree; a key offers the halves of its own
-    length and of a length one less.
+    length and of a length one less. Two keys of one or two letters may share nothing but an empty half.
     """
     n = F.length(key)
     own, less = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
 
     def side(h: Column) -> list[Column]:
         return [
-            F.xxhash64(F.lit(0), h, F.substring(key, F.lit(1), h)),
-            F.xxhash64(F.lit(1), h, F.substring(key, n - h + 1, h)),
+            F.xxhash64(source, F.lit(0), h, F.substring(key, F.lit(1), h)),
+            F.xxhash64(source, F.lit(1), h, F.substring(key, n - h + 1, h)),
         ]
 
     return F.array_distinct(F.array(*side(own), *side(less)))
 
 
-def frequent_lines(lines: DataFrame, pages_of: DataFrame, min_pages: int, min_share: float) -> DataFrame:
-    """source, key, line: the keys of frequent lines, each with the key (``line``) of the frequent line it stands for.
+def _need(pages_of: DataFrame, min_pages: int, min_share: float) -> DataFrame:
+    """source, need: the pages on which a line or sequence must stand; ``pages_of`` has source and n_pages."""
+    floor = F.greatest(F.lit(min_pages), F.ceil(F.col("n_pages") * F.lit(min_share) - F.lit(1e-9))).cast("long")
+    return pages_of.select("source", floor.alias("need"))
+
+
+def line_members(keyed: DataFrame, need: DataFrame) -> DataFrame:
+    """source, key, line, need: keys with each repeated line they may stand for, only lines that may have the support.
 
-    A line is frequent in its source if it stands on at least ``min_pages`` pages and at least ``min_share`` of them,
-    its misprints with one letter changed, missing or added included. ``pages_of`` has source and n_pages. A key that
-    stands on one page only is a misprint of others, never the line they are misprints of. Pages are counted on
-    the map side first; keys are compared only where they share a half, and only with keys on two pages or more.
+    A key on two pages or more is a line; it stands for itself and for every line on as many pages or more from which one
+    letter tells it apart. A key on one page is at most a misprint. Keys are compared only where they share a half, and
+    lines are left out whose support cannot reach ``need`` even if every such key adds to it.
     """
-    on_page = lines.select("source", "page", "key").distinct()
-    counts = on_page.groupBy("source", "key").agg(F.count(F.lit(1)).alias("n"))
-    floor = F.greatest(F.lit(min_pages), F.ceil(F.col("n_pages") * F.lit(min_share) - F.lit(1e-9))).cast("long")
-    need = pages_of.select("source", floor.alias("need"))
-
-    halved = counts.where(F.length("key") >= FUZZY_FROM).withColumn("half", F.explode(_halves(F.col("key"))))
-    heads = halved.where("n > 1").select("source", "half", F.col("key").alias("line"), F.col("n").alias("n_line"))
-    near = (
-        halved.join(heads, ["source", "half"])
-        .where((F.col("key") != F.col("line")) & (F.col("n") <= F.col("n_line")))
-        .where(F.abs(F.length("key") - F.length("line")) <= 1)
-        .where(F.levenshtein("key", "line", 1) >= 0)
-        .select("source", "key", "line", "n")
-        .distinct()
-    )
-    own = counts.where("n > 1").select("source", "key", F.col("key").alias("line"), "n")
-    members = own.unionAll(near)
-    # an upper bound of the support prunes nearly all before pages are counted exactly
-    hopeful = (
-        members.groupBy("source", "line")
-        .agg(F.sum("n").alias("most"))
-        .join(need, "source")
-        .where("most >= need")
-        .select("source", "line", "need")
-    )
-    among = members.join(hopeful, ["source", "line"]).select("source", "key", "line", "need")
-    frequent = (
-        on_page.join(among, ["source", "key"])
-        .select("source", "line", "need", "page")
-        .distinct()
-        .groupBy("source", "line", "need")
-        .agg(F.count(F.lit(1)).alias("support"))
-        .where("support >= need")
-    )
-    # a key near several frequent lines stands for the one with the most support
-    best = Window.partitionBy("source", "key").orderBy(F.col("support").desc(), "line")
-    return (
-        among.join(frequent.select("source", "line", "support"), ["source", "line"])
-        .withColumn("r", F.row_number().over(best))
-        .where("r = 1")
-        .select("source", "key", "line", "support")
+    each = keyed.select("source", F.explode(F.array_distinct("keys")).alias("key")).where("key <> ''")
+    lines = cut(each.groupBy("source", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    heads = lines.select("source", F.col("key").alias("line"), F.col("n").alias("n_line"), F.explode(_halves(F.col("source"), F.col("key"))).alias("half"))
+    # all keys near a line, those on one page included
+    near = if_small(heads.drop("source"), F.length("line") + 40)
+    halved = each.select("source", "key", F.explode(_halves(F.col("source"), F.col("key"))).alias("half"))
+    one_off = (F.col("key") != F.col("line")) & (F.abs(F.length("key") - F.length("line")) <= 1)
+    pairs = halved.join(near, "half").where(one_off & (F.levenshtein("key", "line", 1) >= 0)).groupBy("source", "key", "line", "n_line").agg(F.count(F.lit(1)).alias("hits"))
+    known = lines.withColumnRenamed("n", "n_key")
+    # a page that shares both halves with a line counts twice in hits: n_key is exact, and one for a lone key
+    others = (
+        pairs.join(if_small(known, F.length("key") + 40), ["source", "key"], "left")
+        .select("source", "key", "line", F.coalesce("n_key", F.lit(1)).alias("n"), "n_line")
+        .where("n <= n_line")
+        .drop("n_line")
     )
+    members = cut(lines.select("source", "key", F.col("key").alias("line"), "n").unionAll(others))
+    hopeful = members.groupBy("source", "line").agg(F.sum("n").alias("most")).join(need, "source").where("most >= need")
+    return cut(members.join(hopeful.select("source", "line", "need"), ["source", "line"]).select("source", "key", "line", "need"))
 
 
 def repeated_lines(
     pages: DataFrame, source: str, page: str, content: str, min_pages: int = 5, min_share: float = 0.15
-) -> DataFrame:
-    """source, page, line_no, line, support: each occurrence of a line that is repeated excessively in its source.
-
-    One row of ``pages`` is one page; a page number that comes twice counts once. Null and empty contents have no lines but
-    count as pages; null sources form a source of their own that never matches. Nothing is collected per source: all
-    counts are combined on the map side and a hot (source, line) splits like any skewed join key.
+) -> tuple[DataFrame, DataFrame]:
+    """Occurrences and frequent sequences of the lines that are repeated excessively in their source.
+
+    Occurrences: source, page, line_no, line, for each line of a frequent sequence, single lines included. Sequences: source,
+    lines (array), support. A line is the same as another if one letter was changed, lost or added; a key near several
+    frequent lines stands for the one with the most support. One row of ``pages`` is one page; null and empty contents
+    have no lines but count as pages; a null source never matches. A line must stand on at least ``min_pages`` pages and
+    at least ``min_share`` of its source's. The pages are keyed once; counts are combined on the map side, and nothing
+    is collected per source.
     """
-    lines = page_lines(pages, source, page, content)
-    pages_of = (
-        pages.select(F.col(source).alias("source"), F.col(page).alias("page"))
-        .distinct()
-        .groupBy("source")
-        .agg(F.count(F.lit(1)).alias("n_pages"))
+    keyed = cut(keyed_pages(pages, source, page, content))
+    counted = keyed.groupBy("source").agg(F.count_distinct("page").alias("n_pages"))
+    need = cut(_need(counted, min_pages, min_share))
+    members = line_members(keyed, need)
+    narrow = if_small(members, F.length("key") + F.length("line") + 40)
+    found = keyed.select("source", "page", F.posexplode("keys").alias("line_no", "key")).where("key <> ''").join(narrow, ["source", "key"])
+    support = (
+        found.select("source", "line", "need", "page").distinct()
+        .groupBy("source", "line", "need").agg(F.count(F.lit(1)).alias("support"))
+        .where("support >= need")
+    )
+    ids = Window.partitionBy("source").orderBy("line")
+    frequent = cut(support.withColumn("item", F.row_number().over(ids)).select("source", "line", "support", "item"))
+    best = Window.partitionBy("source", "key").orderBy(F.col("support").desc(), "line")
+    chosen = cut(
+        members.join(frequent, ["source", "line"]).withColumn("r", F.row_number().over(best)).where("r = 1").select("source", "key", "line", "item")
+    )
+    small = if_small(chosen, F.length("key") + F.length("line") + 40)
+    occurrences = (
+        keyed.select("source", "page", F.posexplode("keys").alias("line_no", "key"))
+        .where("key <> ''")
+        .join(small, ["source", "key"])
+        .select("source", "page", "line_no", "line", "item")
+    )
+    sequences = line_sequences(occurrences, need)
+    # what is frequent alone or in company is deleted
+    items = sequences.select("source", F.explode("items").alias("item")).distinct()
+    gone = occurrences.join(if_small(cut(items), F.lit(60)), ["source", "item"], "left_semi").select("source", "page", "line_no", "line")
+    named = (
+        sequences.select("source", "support", F.col("items").alias("of"), F.posexplode("items").alias("at", "item"))
+        .join(frequent.select("source", "item", "line"), ["source", "item"])
+        .groupBy("source", "of", "support")
+        .agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("xs"))
+        .select("source", F.col("xs.line").alias("lines"), "support")
     )
-    found = frequent_lines(lines, pages_of, min_pages, min_share)
-    return lines.join(found, ["source", "key"]).select("source", "page", "line_no", "line", "support")
+    return gone, named
 
 
-def line_sequences(
-    occurrences: DataFrame, pages_of: DataFrame, min_pages: int = 5, min_share: float = 0.15, max_length: int | None = None
-) -> DataFrame:
-    """source, lines (array), support: the frequent sequences of repeated lines, of any length unless ``max_length`` is given.
+def line_sequences(occurrences: DataFrame, need: DataFrame) -> DataFrame:
+    """source, items (array), support: the frequent sequences of line identifiers, of any length.
 
-    ``occurrences`` is the result of ``repeated_lines``. Each level keeps, per page and sequence, where its first
-    occurrence ends (the projected database), and grows it by every repeated line further down the page. Levels are
-    written once each; the growth ends with the first that has no frequent sequence.
+    ``occurrences``: source, page, line_no, item. ``need``: source, need. Pages of a source with the same sequence become one
+    row with a weight, so a book of a thousand like pages is one row. PrefixSpan then keeps, for each such row and
+    frequent prefix, where the prefix first ends (the projected database), and grows it by every item further on; the
+    growth ends with the first length that has no frequent sequence.
     """
-    items = occurrences.select("source", "page", "line_no", "line")
-    need = pages_of.select(
-        "source",
-        F.greatest(F.lit(min_pages), F.ceil(F.col("n_pages") * F.lit(min_share) - F.lit(1e-9))).cast("long").alias("need"),
+    by_page = occurrences.groupBy("source", "page").agg(F.array_sort(F.collect_list(F.struct("line_no", "item"))).alias("xs"))
+    base = (
+        by_page.select("source", F.col("xs.item").alias("seq")).groupBy("source", "seq").agg(F.count(F.lit(1)).alias("weight"))
     )
-    grown = items.groupBy("source", "page", F.array("line").alias("lines")).agg(F.min("line_no").alias("end"))
+    grown = base.select("source", "seq", "weight", F.array().cast("array<int>").alias("items"), F.lit(0).alias("end"))
     found = None
-    for level in itertools.count(1):
-        grown = cut(grown)
-        support = cut(
-            grown.groupBy("source", "lines")
-            .agg(F.count(F.lit(1)).alias("support"))
-            .join(need, "source")
-            .where("support >= need")
-            .select("source", "lines", "support")
+    for _ in itertools.count():
+        rest = F.slice("seq", F.col("end") + 1, F.size("seq"))
+        step = grown.select("source", "seq", "weight", "items", "end", rest.alias("rest")).select(
+            "source", "seq", "weight", "items", "end", "rest", F.explode(F.array_distinct("rest")).alias("next")
         )
-        found = support if found is None else found.unionAll(support)
-        if level == max_length or support.isEmpty():
-            return found
-        grown = (
-            grown.join(support.select("source", "lines"), ["source", "lines"], "left_semi")
-            .join(items, ["source", "page"])
-            .where("line_no > end")
-            .groupBy("source", "page", F.concat("lines", F.array("line")).alias("lines"))
-            .agg(F.min("line_no").alias("end"))
+        step = cut(
+            step.select(
+                "source",
+                "seq",
+                "weight",
+                F.concat("items", F.array("next")).alias("items"),
+                (F.col("end") + F.array_position("rest", F.col("next")).cast("int")).alias("end"),
+            )
+        )
+        level = cut(
+            step.groupBy("source", "items").agg(F.sum("weight").alias("support")).join(need, "source").where("support >= need").select("source", "items", "support")
         )
+        found = level if found is None else found.unionAll(level)
+        if level.isEmpty():
+            return found
+        grown = step.join(if_small(level, 8 * F.size("items") + 60).select("source", "items"), ["source", "items"], "left_semi")
 
 
 def without_lines(pages: DataFrame, occurrences: DataFrame, source: str, page: str, content: str) -> DataFrame:
@@ -176,15 +182,47 @@ def without_lines(pages: DataFrame, occurrences: DataFrame, source: str, page: s
     )
 
 
-def without_phrases(chunks: DataFrame, key: str, text: str, page_texts: DataFrame, on: list[str]) -> DataFrame:
-    """``chunks`` with the lines of ``page_texts`` (the columns ``on`` and an array ``lines``) taken out of ``text``.
+def without_aligned(text: str | None, gone: list[dict] | None) -> str | None:
+    """``text`` without the lines ``gone`` (before, line, after), where they stand as whole words next to what they stand next to.
 
-    A chunk is joined words, so a line is looked for with single spaces; ``chunks`` has one row for each page it
-    stands on.
+    ``before`` and ``after`` are the words around the line on its page, null at its edges. The same words inside a
+    sentence of the body have other neighbours and stay.
     """
-    gone = F.flatten(F.collect_set("lines"))
-    cut = F.aggregate(
-        F.array_sort(gone, lambda a, b: F.length(b) - F.length(a)), F.first(text), lambda t, s: F.replace(t, s, F.lit(""))
+    if text is None or gone is None or not len(gone):
+        return text
+    words = text.split()
+    drop = [False] * len(words)
+    places: dict[str, list[int]] = {}
+    for i, w in enumerate(words):
+        places.setdefault(w, []).append(i)
+    for g in gone:
+        line = (g["line"] or "").split()
+        for i in places.get(line[0], []) if line else []:
+            j = i + len(line)
+            if words[i:j] != line:
+                continue
+            left = i == 0 or g["before"] is None or drop[i - 1] or words[i - 1] == g["before"]
+            right = j == len(words) or g["after"] is None or drop[j] or words[j] == g["after"]
+            # a heading beside the line may have left the chunk, so one side is enough inside it
+            if (left and right) if i == 0 or j == len(words) else (left or right):
+                drop[i:j] = [True] * len(line)
+    return " ".join(w for w, d in zip(words, drop, strict=True) if not d) if any(drop) else text
+
+
+def without_phrases(chunks: DataFrame, key: str, text: str, page_lines: DataFrame, on: list[str]) -> DataFrame:
+    """key, before, after: the text of each chunk, and the text without the repeated lines of its pages.
+
+    ``page_lines``: the columns ``on`` and ``lines``, an array of (before, line, after). ``chunks`` has one row for each page a
+    chunk stands on. A chunk is joined words, so lines are found as words in their place; nulls stay null.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            cleaned = [without_aligned(t, g) for t, g in zip(frame["before"], frame["gone"], strict=True)]
+            yield pd.DataFrame({key: frame[key], "before": frame["before"], "after": pd.Series(cleaned, dtype=object)})
+
+    kind = chunks.schema[key].dataType.simpleString()
+    gathered = chunks.join(page_lines, on, "left").groupBy(key).agg(
+        F.first(text).alias("before"), F.array_sort(F.flatten(F.collect_list("lines"))).alias("gone")
     )
-    joined = chunks.join(page_texts, on, "left")
-    return joined.groupBy(key).agg(F.first(text).alias("before"), cut.alias("after"))
+    return gathered.mapInPandas(run, f"`{key}` {kind}, before string, after string")

@@ -153,7 +153,8 @@ def pack(
 
         group = F.pmod(F.xxhash64("container"), F.lit(parts)).cast("int")
         open_ = found.where("is_open").withColumn("__g", group)
-        found = open_.repartition(parts, "__g").drop("__g").mapInPandas(again, _WINDOWS)
+        # one partition for each group, so the bound above holds
+        found = open_.repartitionById(parts, "__g").drop("__g").mapInPandas(again, _WINDOWS)
         if last:
             done.append(found)
             break

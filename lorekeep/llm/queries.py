@@ -9,16 +9,15 @@ from lorekeep.functions.concepts import normalize_concept
 from lorekeep.functions.whitespace import collapse_ws, trim_ws
 from lorekeep.llm.cooccurrence import cooccurrence
 from lorekeep.llm.frequency import marked, term_frequency
-from lorekeep.llm.furniture import line_sequences, repeated_lines, without_lines, without_phrases
+from lorekeep.llm.furniture import repeated_lines, without_lines, without_phrases
 from lorekeep.llm.items import current_sections, long_items
-from lorekeep.llm.language import fit_languages, label_defects, language_runs
+from lorekeep.llm.language import fit_languages, fit_words, label_defects, language_runs
 from lorekeep.llm.neighbors import mutual_pairs, nearest_vectors
 from lorekeep.llm.packing import pack_texts
 from lorekeep.llm.pairs import pair_defects
 from lorekeep.llm.splitting import split_oversized
 from lorekeep.llm.tokens import encode_corpus
 from lorekeep.operators.current import current_rows
-from lorekeep.session import cut
 from lorekeep.sources.tables import table
 
 LIMIT, OVERLAP = 2000, 200
@@ -118,13 +117,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         "answered_at",
     )
     questions = table(spark, sf_dir, "questions").groupBy("question_id").agg(F.min("question").alias("prompt"))
-    model = fit_languages(table(spark, sf_dir, "lang_samples"))
+    samples = table(spark, sf_dir, "lang_samples")
     found = pair_defects(
         results.join(questions, "question_id", "left"),
         {"answer": True, "spoken_summary": False},
         table(spark, sf_dir, "documents"),
         "text",
-        model,
+        fit_languages(samples),
+        fit_words(samples),
         "result_id",
     )
     return found.select("result_id", "field", "defect")
@@ -135,40 +135,53 @@ def _current_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return current_rows(df, ["doc_id", "page_number"]).drop("ingested_at")
 
 
-def _repeated(pages: DataFrame) -> DataFrame:
+def _repeated(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return repeated_lines(pages, "doc_id", "page_number", "content", MIN_PAGES, MIN_SHARE)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each occurrence of a line that stands on far too many pages of its book."""
-    return _repeated(_current_pages(spark, sf_dir)).select(
+    return _repeated(_current_pages(spark, sf_dir))[0].select(
         F.col("source").alias("doc_id"), F.col("page").alias("page_number"), "line_no"
     )
 
 
 def p6_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of such lines that follow each other down the pages of a book."""
-    pages = _current_pages(spark, sf_dir)
-    pages_of = pages.groupBy(F.col("doc_id").alias("source")).agg(F.count(F.lit(1)).alias("n_pages"))
-    # every level reads the occurrences again
-    return line_sequences(cut(_repeated(pages)), pages_of, MIN_PAGES, MIN_SHARE).withColumnRenamed("source", "doc_id")
+    return _repeated(_current_pages(spark, sf_dir))[1].withColumnRenamed("source", "doc_id")
 
 
 def p6_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every current page without its repeated lines."""
     pages = _current_pages(spark, sf_dir)
-    return without_lines(pages, _repeated(pages), "doc_id", "page_number", "content")
+    return without_lines(pages, _repeated(pages)[0], "doc_id", "page_number", "content")
 
 
 def p6_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every current chunk without the repeated lines of the pages it stands on."""
     pages = _current_pages(spark, sf_dir)
     at = ["doc_id", "page_number"]
-    gone = _repeated(pages).select(F.col("source").alias("doc_id"), F.col("page").alias("page_number"), "line_no")
+    gone = _repeated(pages)[0].select(F.col("source").alias("doc_id"), F.col("page").alias("page_number"), "line_no")
+    # a line with the words around it, as they follow each other in a chunk
+    flat = F.transform(F.split("content", "\n"), lambda x: trim_ws(collapse_ws(x)))
+    words = F.transform("all", lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, " ")))
+    before = lambda i: F.element_at(F.flatten(F.slice("ws", 1, i)), -1)
+    after = lambda i: F.get(F.flatten(F.slice("ws", i + 2, F.size("ws"))), F.lit(0))
     lines = (
-        pages.join(gone.groupBy(*at).agg(F.collect_set("line_no").alias("nos")), at)
-        .select(*at, F.col("nos"), F.split("content", "\n").alias("all"))
-        .select(*at, F.transform("nos", lambda i: trim_ws(collapse_ws(F.get("all", i)))).alias("lines"))
+        pages.join(gone.groupBy(*at).agg(F.sort_array(F.collect_set("line_no")).alias("nos")), at)
+        .select(*at, "nos", flat.alias("all"))
+        .withColumn("ws", words)
+        .select(
+            *at,
+            F.transform(
+                "nos",
+                lambda i: F.struct(
+                    F.when(F.size(F.flatten(F.slice("ws", 1, i))) > 0, before(i)).alias("before"),
+                    F.get("all", i).alias("line"),
+                    after(i).alias("after"),
+                ),
+            ).alias("lines"),
+        )
     )
     chunks = current_rows(
         table(spark, sf_dir, "chunks").select("chunk_id", "doc_id", "page_start", "page_end", "text", "ingested_at"),

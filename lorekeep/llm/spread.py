@@ -1,17 +1,30 @@
-"""Enough partitions for a stage that is heavy on CPU."""
+"""Enough partitions for a stage that is heavy on CPU, and joins with what is provably small."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# what is broadcast has at most so many bytes
+SMALL_BYTES = 8 << 20
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """``df`` as it is if its files can feed every core, else shuffled by ``key`` into two partitions a core.
+    """``df`` as it is if its scan has a split for every core, else shuffled by ``key`` into two partitions a core.
 
-    A large corpus has more files than the cluster has cores and is never shuffled here. Hashing a key, unlike dealing
-    rows round, gives the same partitions when a lost task runs again.
+    Splits are counted, not files, so one huge file is not shuffled. Hashing a key, unlike dealing rows round, gives the
+    same partitions when a lost task runs again.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
+    if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(2 * cores, key)
+
+
+def if_small(df: DataFrame, width: Column) -> DataFrame:
+    """``df`` marked for a broadcast if its rows, each of ``width`` bytes, come to at most ``SMALL_BYTES``, else as it is.
+
+    ``df`` should be cheap to read: it is summed up once here. Without the mark the join shuffles; rows are the same.
+    """
+    size = df.agg(F.sum(width.cast("long")).alias("n")).collect()[0]["n"] or 0
+    return F.broadcast(df) if size <= SMALL_BYTES else df

@@ -104,33 +104,48 @@ def test_repeated_lines(spark):
     pages += [("d", 20, "cOre rulesXpage 9"), ("d", 21, "Core Rulez page 4"), ("d", 22, None), ("d", 23, "")]
     pages += [("e", i, "Same line\r\nSame line") for i in range(4)] + [(None, 1, "x")]
     df = spark.createDataFrame(pages, "doc_id string, page_number int, content string").withColumns({"line": F.lit(1), "key": F.lit(2)})
-    got = furniture.repeated_lines(df, "doc_id", "page_number", "content").select("source", "page", "line_no").collect()
+    occ, _ = furniture.repeated_lines(df, "doc_id", "page_number", "content")
+    got = occ.select("source", "page", "line_no").collect()
     assert sorted(tuple(r) for r in got) == [("d", i, 0) for i in range(22)]
-    occ = furniture.repeated_lines(df, "doc_id", "page_number", "content")
     clean = {(r.doc_id, r.page_number): r.content for r in furniture.without_lines(df, occ, "doc_id", "page_number", "content").collect()}
     assert clean["d", 3] == "body uuuuu\n\n— 3 —" and clean["d", 20] == "" and clean["d", 22] is None and clean["e", 1] == "Same line\r\nSame line"
-    assert furniture.repeated_lines(df.limit(0), "doc_id", "page_number", "content").count() == 0
+    assert furniture.repeated_lines(df.limit(0), "doc_id", "page_number", "content")[0].count() == 0
+
+
+def test_misprints_of_short_lines(spark):
+    texts = ["Index", "Index", "Indox", "Indexx", "Inex", "Outdo", "Ix", "Ib", "Xb"]
+    df = spark.createDataFrame([("d", i, t) for i, t in enumerate(texts)], "doc_id string, page_number int, content string")
+    occ, seqs = furniture.repeated_lines(df, "doc_id", "page_number", "content")
+    assert sorted(r.page for r in occ.collect()) == [0, 1, 2, 3, 4]
+    assert [(r.lines, r.support) for r in seqs.collect()] == [(["index"], 5)]
 
 
 def test_line_sequences(spark):
-    pages = [("d", i, "First line here\nbody\nSecond line there") for i in range(6)]
+    pages = [("d", i, f"First line here\nbody {'abcdef'[i] * 9}\nSecond line there") for i in range(6)]
     df = spark.createDataFrame(pages, "doc_id string, page_number int, content string")
-    occ = furniture.repeated_lines(df.withColumn("content", F.regexp_replace("content", "body", "")), "doc_id", "page_number", "content")
-    n = spark.createDataFrame([("d", 6)], "source string, n_pages long")
-    got = {tuple(r.lines): r.support for r in furniture.line_sequences(occ, n).collect()}
+    _, seqs = furniture.repeated_lines(df, "doc_id", "page_number", "content")
+    got = {tuple(r.lines): r.support for r in seqs.collect()}
     assert got == {("firstlinehere",): 6, ("secondlinethere",): 6, ("firstlinehere", "secondlinethere"): 6}
 
 
 def test_line_sequences_of_any_length(spark):
     names = ["alpha line", "bravo line", "charlie line", "delta line", "echo line"]
     df = spark.createDataFrame([("d", i, "\n".join(names)) for i in range(6)], "doc_id string, page_number int, content string")
-    n = spark.createDataFrame([("d", 6)], "source string, n_pages long")
-    occ = furniture.repeated_lines(df, "doc_id", "page_number", "content")
-    got = {tuple(r.lines) for r in furniture.line_sequences(occ, n).collect()}
+    _, seqs = furniture.repeated_lines(df, "doc_id", "page_number", "content")
+    got = {tuple(r.lines) for r in seqs.collect()}
     keys = [x.replace(" ", "") for x in names]
     assert got == {c for k in range(1, 6) for c in itertools.combinations(keys, k)}
 
 
+def test_lines_leave_chunks_where_they_stand():
+    gone = [{"before": "end.", "line": "Core Rules 7", "after": "The"}]
+    assert furniture.without_aligned("at the end. Core Rules 7 The next", gone) == "at the end. The next"
+    assert furniture.without_aligned("Core Rules 7 The next", gone) == "The next"
+    assert furniture.without_aligned("see Core Rules 7 for more", gone) == "see Core Rules 7 for more"
+    assert furniture.without_aligned("HardCore Rules 7", gone) == "HardCore Rules 7"
+    assert furniture.without_aligned(None, gone) is None and furniture.without_aligned("a  b", None) == "a  b"
+
+
 # tokens
 
 
@@ -199,6 +214,34 @@ def test_packing(spark):
     assert packing.pack(spark, df.limit(0)).count() == 0
 
 
+def test_packing_wastes_little_and_holds_its_bound(spark):
+    rng = random.Random(8)
+    sizes = [min(2048, int(rng.paretovariate(1.1) * 60)) for _ in range(12_000)]
+    df = spark.createDataFrame([(str(i), s) for i, s in enumerate(sizes)], "item string, size long").repartition(64)
+    got = packing.pack(spark, df, 2048, 16, 4).groupBy("container").agg(F.sum("size").alias("used")).collect()
+    assert sum(r.used for r in got) == sum(sizes) and max(r.used for r in got) <= 2048
+    assert len(got) <= 1.02 * sum(sizes) / 2048 + 1
+    # 64 partitions keep 16 open ones each; groups of four partitions' worth never meet in one task
+    ids = spark.range(64 * 16).select(F.pmod(F.xxhash64("id"), F.lit(16)).cast("int").alias("g")).repartitionById(16, "g")
+    per = ids.groupBy(F.spark_partition_id().alias("p")).agg(F.count_distinct("g").alias("n")).collect()
+    assert all(r.n == 1 for r in per)
+
+
+def test_components(spark):
+    links = [("a", "b"), ("b", "c"), ("c", "d"), ("x", "y")]
+    df = spark.createDataFrame(links + [(b, a) for a, b in links], "a string, b string")
+    assert sorted(tuple(r) for r in pairs.components(df).collect()) == [("a", "a"), ("b", "a"), ("c", "a"), ("d", "a"), ("x", "x"), ("y", "x")]
+
+
+def test_near_clauses_of_a_chain_count_together(spark):
+    base = "i am afraid that under the rules i was given there is no way for me to say anything at all about this very matter here today"
+    words = base.split()
+    chain = [" ".join([f"w{i}"] * 0 + words[:-1] + [f"word{i}"]) for i in range(2)] + [" ".join(["so", *words[1:-1], "word1"])]
+    df = spark.createDataFrame([(c, f"p{i}") for i, c in enumerate(chain)], "clause string, prompt string")
+    got = pairs.template_clauses(df).collect()
+    assert len({r.root for r in got}) == 1 and {r.prompts for r in got} == {3}
+
+
 # vectors
 
 
@@ -207,9 +250,15 @@ def test_tree_gives_the_best_bins():
     x = neighbors._unit(rng.normal(size=(4000, 16))).astype(np.float32)
     p = neighbors.TreeParams(width=16, leaf_size=40, fanout=6)
     tree = neighbors.fit_tree(x, 1.0, p)
-    many = tree.visited(x[:30], 12)
-    assert [tree.best_bins(q, 12) for q in x[:30]] == many.tolist()
-    assert set(tree.home(x).tolist()) <= set(range(len(tree.leaf_centers)))
+    many = tree.visited(x[:60], 12)
+    one = [tree.best_bins(q, 12) for q in x[:60]]
+    leaves = np.stack([tree.matrix[n] for n in tree.leaf_of])
+    for q, a, b in zip(x, many, one, strict=False):
+        # rows that advance together open what the queue opens, or more, so no bin they visit is worse
+        assert (np.sort(leaves[a] @ q) >= np.sort(leaves[b] @ q) - 1e-6).all() and len(set(a.tolist())) == 12
+    assert np.mean([len(set(a) & set(b)) for a, b in zip(many.tolist(), one, strict=True)]) > 6
+    assert sorted(tree.visited(x[:2], tree.n_leaves)[0].tolist()) == list(range(tree.n_leaves))
+    assert set(tree.home(x).tolist()) <= set(range(tree.n_leaves))
 
 
 def test_neighbors_recall_copies_and_bad_vectors(spark):
@@ -220,7 +269,8 @@ def test_neighbors_recall_copies_and_bad_vectors(spark):
     rows += [(f"copy{i:02d}", rows[0][1]) for i in range(30)]
     rows += [("null", None), ("zero", [0.0] * 64), ("short", [1.0] * 63), ("nan", [float("nan")] * 64), (None, rows[5][1])]
     df = spark.createDataFrame(rows, "id string, v array<float>").withColumns({"rep": F.lit(1), "packed": F.lit(2)})
-    p = neighbors.TreeParams(leaf_size=60, least_visits=2, cell_size=700)
+    # cells of more points than fit a task, and more queries than one should serve
+    p = neighbors.TreeParams(leaf_size=60, least_visits=2, cell_size=40)
     got = {}
     for r in neighbors.nearest_vectors(df, "id", "v", 10, params=p).collect():
         got.setdefault(r.id, []).append((r["rank"], r.other))
@@ -248,6 +298,11 @@ def net(spark, sf_dir):
     return language.fit_languages(spark.read.parquet(f"{sf_dir}/lang_samples.parquet"))
 
 
+@pytest.fixture(scope="module")
+def votes(spark, sf_dir):
+    return language.fit_words(spark.read.parquet(f"{sf_dir}/lang_samples.parquet"))
+
+
 def test_held_out_accuracy(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/lang_samples.parquet").orderBy("sample_id").collect()
     train, held = [r for r in rows if r.sample_id % 5], [r for r in rows if r.sample_id % 5 == 0]
@@ -259,7 +314,7 @@ def test_held_out_accuracy(spark, sf_dir):
 
 
 def test_labels():
-    for label, want in {"EN": "en", "en_GB": "en", "pt-BR": "pt", "Deutsch": "de", "jpn": "ja", " fra ": "fr", "sv": "other", "und": None, "??": None, "": None, None: None, "n/a": None}.items():
+    for label, want in {"EN": "en", "en_GB": "en", "pt-BR": "pt", "Deutsch": "de", "jpn": "ja", " fra ": "fr", "sv": "other", "und": None, "??": None, "": None, None: None, "n/a": None, "no label": None, "is unknown": None, "en (auto)": "en", "pt BR": "pt", "en_US.UTF-8": "en"}.items():
         assert language.label_code(label) == want
 
 
@@ -287,6 +342,7 @@ def test_pair_checks():
         assert pairs.is_empty(v), v
     for v in ("9", "No.", "Yes", "2d6"):
         assert not pairs.is_empty(v) and not pairs.is_truncated(v), v
+    assert not pairs.is_empty("No answer is in the book of hours")
     for v in (q, q.upper(), f"{q} {q}", f"You want to know: {q[0].lower()}{q[1:]}", f"**{q}**", q[:-1] + "??"):
         assert pairs.is_echo(v, q), v
     assert not pairs.is_echo(f"{q} The warden.", q) and not pairs.is_echo("The warden.", q) and not pairs.is_echo(q, None)
@@ -297,13 +353,13 @@ def test_pair_checks():
         assert pairs.is_truncated(v), v
 
 
-def test_pair_defects(spark, sf_dir, net):
+def test_pair_defects(spark, sf_dir, net, votes):
     rows = [(i, f"Who gains the seal number {i} when a companion falls?", "I am not permitted to answer that question.", None) for i in range(4)]
     rows += [(10, "Who gains the broken seal when a companion falls?", "La guérisseuse paie le prix entier avant que le premier coup ne tombe.", "")]
     rows += [(11, None, "The warden gains the broken seal when a companion falls.", None), (12, "Who?", None, None), (12, "Who?", None, None)]
     df = spark.createDataFrame(rows, "result_id long, prompt string, answer string, spoken_summary string").withColumn("field", F.lit(1))
     sound = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    args = ({"answer": True, "spoken_summary": False}, sound, "text", net, "result_id")
+    args = ({"answer": True, "spoken_summary": False}, sound, "text", net, votes, "result_id")
     got = sorted(tuple(r) for r in pairs.pair_defects(df, *args).collect())
     assert got == [
         *((i, "answer", "refusal") for i in range(4)),
@@ -315,23 +371,23 @@ def test_pair_defects(spark, sf_dir, net):
     assert pairs.pair_defects(df.limit(0), *args).count() == 0
 
 
-def test_refusals_that_name_their_subject(spark, sf_dir, net):
+def test_refusals_that_name_their_subject(spark, sf_dir, net, votes):
     sound = spark.read.parquet(f"{sf_dir}/documents.parquet")
     words = pairs.sound_words(sound, "text").where("capital >= 0.3 * df and lower * 20 < capital").orderBy("word").limit(4).collect()
     names = [r["word"].title() for r in words]
     texts = ["Regrettably, I must refuse to say how {} works.", "About {}: I was told not to discuss matters of this kind.", "Nothing in this book covers {}."]
     rows = [(10 * k + i, f"How does {n} work, and who gains seal {k}?", t.format(n), None) for k, t in enumerate(texts) for i, n in enumerate(names)]
     df = spark.createDataFrame(rows, "result_id long, prompt string, answer string, spoken_summary string")
-    got = pairs.pair_defects(df, {"answer": True, "spoken_summary": False}, sound, "text", net, "result_id").collect()
+    got = pairs.pair_defects(df, {"answer": True, "spoken_summary": False}, sound, "text", net, votes, "result_id").collect()
     assert sorted(r.result_id for r in got if r.defect == "refusal") == [0, 1, 2, 3, 10, 11, 12, 13]
 
 
-def test_refusals_in_plain_words(spark, sf_dir, net):
+def test_refusals_in_plain_words(spark, sf_dir, net, votes):
     sound = spark.read.parquet(f"{sf_dir}/documents.parquet")
     answers = ["Regrettably, alas, I cannot help with this."] * 3 + ["I cannot help with this.", "This is the help."]
     rows = [(i, f"Who gains seal {i} when a companion falls?", a, None) for i, a in enumerate(answers)]
     df = spark.createDataFrame(rows, "result_id long, prompt string, answer string, spoken_summary string")
-    got = pairs.pair_defects(df, {"answer": True, "spoken_summary": False}, sound, "text", net, "result_id").collect()
+    got = pairs.pair_defects(df, {"answer": True, "spoken_summary": False}, sound, "text", net, votes, "result_id").collect()
     assert sorted(r.result_id for r in got if r.defect == "refusal") == [0, 1, 2, 3]
 
 
