@@ -38,6 +38,17 @@ SKIP_TOPICS = (
 # fixed values: terms added to a question about stacking
 STACKING_TERMS = "multiple affliction afflictions additional already".split()
 
+# fixed values: patterns of a question about stacking and of an answer about several instances
+STACKING_WORDS = "stack|stacks|stacking|duplicate|duplicates|twice|again|multiple"
+INSTANCE_WORDS = r"each\s+instance|remove\s+each|instances?\s+of|already\s+have|no\s+additional|same\s+affliction"
+# fixed values: patterns of an answer that sounds invented, or definite
+INVENTED_WORDS = "typically|here's how|it works|stacks with"
+DEFINITE_WORDS = "does not|do not|never stacks|always|cannot|can't|rules state|according to the excerpts"
+# fixed values: patterns of a text that denies stacking, affirms it, or denies it in another way
+DENIES_STACKING = r"does\s+not\s+stack|don't\s+stack|never\s+stacks"
+AFFIRMS_STACKING = r"stack|stacks|each\s+instance|instances?\s+of"
+DENIES_TOO = r"does\s+not\s+stack|don't\s+stack|never\s+stacks|cannot\s+stack"
+
 _L, _R = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 
 
@@ -46,7 +57,7 @@ def whole(pattern: str) -> str:
     return f"(?i){_L}(?:{pattern}){_R}"
 
 
-_STACKING = whole("stack|stacks|stacking|duplicate|duplicates|twice|again|multiple")
+_STACKING = whole(STACKING_WORDS)
 _RULES = whole("|".join(RULE_PHRASES))
 
 
@@ -72,8 +83,7 @@ def has_rule_text(s: Column) -> Column:
 
 def about_instances(answer: Column) -> Column:
     """Whether an answer speaks of several instances of an effect."""
-    extra = whole(r"each\s+instance|remove\s+each|instances?\s+of|already\s+have|no\s+additional|same\s+affliction")
-    return has_rule_text(answer) | answer.rlike(extra) | answer.rlike(whole("stack|stacks|stacking"))
+    return has_rule_text(answer) | answer.rlike(whole(INSTANCE_WORDS)) | answer.rlike(whole("stack|stacks|stacking"))
 
 
 def rule_weight(text: Column) -> Column:
@@ -194,11 +204,6 @@ def index_key(s: Column) -> Column:
     return trim_ws(collapse_ws(F.lower(s)))
 
 
-def index_matches(key: Column, term: Column) -> Column:
-    """Whether an index key is a term or begins with it as a word."""
-    return (F.length(term) >= 2) & ((key == term) | F.startswith(key, F.concat(term, F.lit(" "))))
-
-
 def index_entry(line: Column) -> Column:
     """(topic, pages) of an index line, else null."""
     s = trim_ws(collapse_ws(F.regexp_replace(line, r"\.{3,}|…+", " ")))
@@ -227,6 +232,27 @@ def chunk_id_of(raw: Column) -> Column:
     return trim_ws(F.regexp_replace(trim_ws(raw), r"(?i)^CHUNK_ID\s*:\s*", ""))
 
 
+def truncated_snippet(s: Column, most: int = 900) -> Column:
+    """A snippet of at most ``most`` characters and an ellipsis where it was longer."""
+    return F.when(F.length(s) > most, F.concat(F.substring(s, 1, most), F.lit("…"))).otherwise(s)
+
+
+def first_words(text: Column, most: int) -> Column:
+    """The text up to the end of its first ``most`` words, white space between them kept."""
+    parts = F.regexp_extract_all(text, F.lit(rf"([{WS}]*[^{WS}]+)"), F.lit(1))
+    return F.when(F.size(parts) <= most, text).otherwise(F.array_join(F.slice(parts, 1, most), ""))
+
+
+def truncated_to_tokens(text: Column, most: int, per_word: int = 3) -> Column:
+    """The first words of a text whose estimated tokens are at most ``most``."""
+    return first_words(text, most // per_word)
+
+
+def embed_input(text: Column, tokens: int = 1000, characters: int = 2000) -> Column:
+    """What is handed to an embedding model: no NUL, at most so many estimated tokens and characters."""
+    return F.substring(truncated_to_tokens(F.replace(text, F.lit("\0"), F.lit("")), tokens), 1, characters)
+
+
 def page_hint(first: Column, last: Column) -> Column:
     """``p. 3`` or ``pp. 3-4``."""
     return F.when(first == last, F.concat(F.lit("p. "), first.cast("string"))).otherwise(
@@ -269,10 +295,8 @@ def best_support(answer: Column, snippet: Column) -> Column:
 
 def reconciled_confidence(confidence: Column, answer: Column, cited: Column, in_prompt: Column) -> Column:
     """``not_in_book`` becomes ``mixed`` where the answer cites or sounds like one. ``cited``, ``in_prompt``: counts."""
-    invented = answer.rlike(whole("typically|here's how|it works|stacks with"))
-    definite = answer.rlike(
-        whole("does not|do not|never stacks|always|cannot|can't|rules state|according to the excerpts")
-    )
+    invented = answer.rlike(whole(INVENTED_WORDS))
+    definite = answer.rlike(whole(DEFINITE_WORDS))
     sounds = invented | (F.length(answer) > 200) | (definite & (F.length(answer) > 35))
     doubtful = (confidence == "not_in_book") & (in_prompt > 0) & ((cited > 0) | sounds)
     return F.when(doubtful, "mixed").otherwise(confidence)
@@ -280,10 +304,8 @@ def reconciled_confidence(confidence: Column, answer: Column, cited: Column, in_
 
 def reconciled_summary(summary: Column, answer: Column) -> Column:
     """The answer, shortened, where the summary denies stacking and the answer does not."""
-    denies = summary.rlike(whole(r"does\s+not\s+stack|don't\s+stack|never\s+stacks"))
-    affirms = answer.rlike(whole(r"stack|stacks|each\s+instance|instances?\s+of")) & ~answer.rlike(
-        whole(r"does\s+not\s+stack|don't\s+stack|never\s+stacks|cannot\s+stack")
-    )
+    denies = summary.rlike(whole(DENIES_STACKING))
+    affirms = answer.rlike(whole(AFFIRMS_STACKING)) & ~answer.rlike(whole(DENIES_TOO))
     flat = trim_ws(collapse_ws(answer))
     short = F.when(F.length(flat) > 280, F.concat(F.substring(flat, 1, 277), F.lit("…"))).otherwise(flat)
     return F.when(denies & affirms, short).otherwise(summary)

@@ -2,47 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.functions.text import heading_of, index_entry, index_key
+from lorekeep.functions.text import heading_of, index_entry, index_key, truncated_to_tokens
 from lorekeep.functions.whitespace import WS, trim_ws
+from lorekeep.operators.blocks import running_total, with_previous
+from lorekeep.session import cut, if_small
 
 
 def page_segments(pages: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
     """keys, seg_no, section_heading, content: each page cut at its heading lines.
 
     A heading line ends the segment before it and heads the next; of several in a row the last holds. A page without any body
-    line is one segment without heading. Each page is one row of higher-order functions: nothing is shuffled.
+    line is one segment without heading. Each page is one row of higher-order functions: nothing is shuffled. A body line
+    belongs to the last heading before it, so segments are the stretches between headings that hold a line.
     """
     lines = F.split(F.regexp_replace(F.coalesce(content, F.lit("")), "\r\n?", "\n"), "\n")
-    marked = F.transform(lines, lambda x: F.struct(trim_ws(x).alias("line"), heading_of(x).alias("heading")))
-    marked = F.filter(marked, lambda x: x["line"] != "")
-    kind = "struct<heading:string,body:array<string>>"
-    empty = F.expr("named_struct('done', array(), 'heading', cast(null as string), 'body', array())").cast(
-        f"struct<done:array<{kind}>,heading:string,body:array<string>>"
+    marked = F.filter(F.transform(lines, trim_ws), lambda x: x != "")
+    found = pages.select(*keys, F.col(content).alias("__text"), marked.alias("__lines"))
+    found = found.withColumn("__heads", F.transform("__lines", heading_of))
+    # where the headings stand, with one before the first line
+    at = F.filter(F.transform("__heads", lambda h, i: F.when(h.isNotNull(), i)), lambda i: i.isNotNull())
+    found = found.withColumn("__at", F.concat(F.array(F.lit(-1)), at))
+    ends = F.concat(F.slice("__at", 2, F.size("__at")), F.array(F.size("__lines")))
+    parts = F.filter(
+        F.zip_with("__at", ends, lambda a, b: F.struct(a.alias("a"), (b - a - 1).alias("n"))), lambda x: x["n"] > 0
+    )
+    found = found.withColumn("__parts", parts)
+    segments = F.transform(
+        "__parts",
+        lambda x: F.struct(
+            F.get("__heads", x["a"]).alias("heading"), F.array_join(F.slice("__lines", x["a"] + 2, x["n"]), " ").alias("body")
+        ),
     )
-
-    def closed(acc: Column) -> Column:
-        part = F.array(F.struct(acc["heading"].alias("heading"), acc["body"].alias("body")))
-        return F.when(F.size(acc["body"]) > 0, F.concat(acc["done"], part)).otherwise(acc["done"])
-
-    def step(acc: Column, x: Column) -> Column:
-        headed = F.struct(
-            closed(acc).alias("done"), x["heading"].alias("heading"), F.array().cast("array<string>").alias("body")
-        )
-        bodied = F.struct(
-            acc["done"].alias("done"), acc["heading"].alias("heading"), F.concat(acc["body"], F.array(x["line"])).alias("body")
-        )
-        return F.when(x["heading"].isNotNull(), headed).otherwise(bodied)
-
-    found = F.aggregate(marked, empty, step, closed)
     whole = F.array(
-        F.struct(F.lit(None).cast("string").alias("heading"), F.array(trim_ws(F.coalesce(content, F.lit("")))).alias("body"))
+        F.struct(F.lit(None).cast("string").alias("heading"), trim_ws(F.coalesce("__text", F.lit(""))).alias("body"))
     )
     return (
-        pages.select(*keys, F.posexplode(F.when(F.size(found) > 0, found).otherwise(whole)).alias("seg_no", "s"))
-        .select(*keys, "seg_no", F.col("s.heading").alias("section_heading"), F.array_join("s.body", " ").alias("content"))
+        found.select(*keys, F.posexplode(F.when(F.size("__parts") > 0, segments).otherwise(whole)).alias("seg_no", "s"))
+        .select(*keys, "seg_no", F.col("s.heading").alias("section_heading"), F.col("s.body").alias("content"))
         .where("content <> ''")
     )
 
@@ -69,11 +68,19 @@ def token_windows(segments: DataFrame, keys: list[str], text: str, target: int =
 
 
 def chunk_pages(pages: DataFrame, doc: str = "doc_id", page: str = "page_number", target: int = 300, overlap: int = 40) -> DataFrame:
-    """doc, chunk_index, chunk_id, page, section_heading, text, token_count: the chunks of every document in order."""
+    """doc, chunk_index, chunk_id, page, section_heading, text, token_count: the chunks of every document in order.
+
+    Pages must come once. Their windows are counted, running totals of the counts number the first window of each page, and
+    texts stay where they are but for the join with those totals; no task holds a document.
+    """
     segments = page_segments(pages, [doc, page])
-    cut = token_windows(segments, [doc, page, "seg_no", "section_heading"], "content", target, overlap)
-    w = Window.partitionBy(doc).orderBy(page, "seg_no", "window_no")
-    return cut.withColumn("chunk_index", F.row_number().over(w) - 1).select(
+    cut_up = token_windows(segments, [doc, page, "seg_no", "section_heading"], "content", target, overlap)
+    w = Window.partitionBy(doc, page).orderBy("seg_no", "window_no")
+    numbered = cut(cut_up.withColumn("__n", F.row_number().over(w) - 1))
+    sizes = numbered.groupBy(doc, page).agg(F.count(F.lit(1)).alias("__size"))
+    starts = running_total(sizes, doc, page, "__size", "__start").select(doc, page, "__start")
+    placed = numbered.join(if_small(starts, F.length(F.col(doc).cast("string")) + 40), [doc, page])
+    return placed.withColumn("chunk_index", (F.col("__start") + F.col("__n")).cast("int")).select(
         doc,
         "chunk_index",
         F.concat(F.col(doc), F.lit("#"), F.col("chunk_index").cast("string")).alias("chunk_id"),
@@ -84,18 +91,22 @@ def chunk_pages(pages: DataFrame, doc: str = "doc_id", page: str = "page_number"
     )
 
 
+def with_islands(chunks: DataFrame, doc: str = "doc_id", order: str = "chunk_index", heading: str = "section_heading") -> DataFrame:
+    """``chunks`` with ``section_index``: the run of equal headings, compared null-safe, that each chunk belongs to."""
+    near = with_previous(chunks, doc, order, [heading])
+    fresh = (F.col("prev_exists") & ~F.col(heading).eqNullSafe(F.col(f"prev_{heading}"))).cast("int")
+    marked = near.withColumn("__new", fresh).drop("prev_exists", f"prev_{heading}")
+    counted = running_total(marked, doc, order, "__new", "__before")
+    return counted.withColumn("section_index", (F.col("__before") + F.col("__new")).cast("int")).drop("__before", "__new")
+
+
 def section_islands(chunks: DataFrame, doc: str = "doc_id", order: str = "chunk_index", heading: str = "section_heading") -> DataFrame:
     """doc, section_index, section_id, title, page_start, page_end, chunk_ids: runs of chunks under one heading.
 
-    Headings compare null-safe; a run without heading is named after its first page.
+    Headings compare null-safe; a run without heading is named after its first page. Documents may be of any size.
     """
-    w = Window.partitionBy(doc).orderBy(order)
-    fresh = F.when(F.row_number().over(w) == 1, 0).otherwise(
-        (~F.col(heading).eqNullSafe(F.lag(heading).over(w))).cast("int")
-    )
-    island = chunks.withColumn("__new", fresh).withColumn("section_index", F.sum("__new").over(w).cast("int"))
     return (
-        island.groupBy(doc, "section_index")
+        with_islands(chunks, doc, order, heading).groupBy(doc, "section_index")
         .agg(
             F.min_by(heading, order).alias("h"),
             F.min_by("page_start", order).alias("page_start"),
@@ -111,7 +122,26 @@ def section_islands(chunks: DataFrame, doc: str = "doc_id", order: str = "chunk_
             "page_end",
             F.col("cs.c").alias("chunk_ids"),
         )
+    )
+
+
+def section_synopses(chunks: DataFrame, doc: str = "doc_id", order: str = "chunk_index", heading: str = "section_heading", budget: int = 700, per_word: int = 3) -> DataFrame:
+    """doc, section_index, synopsis: title, blank line and the texts of each section, cut to a token budget.
+
+    A chunk has a word at least, so no more chunks of a section are gathered than the budget has words.
+    """
+    words = budget // per_word
+    inside = with_islands(chunks, doc, order, heading)
+    w = Window.partitionBy(doc, "section_index").orderBy(order)
+    few = inside.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= words)
+    parts = few.groupBy(doc, "section_index").agg(
+        F.min_by(heading, order).alias("h"),
+        F.min_by("page_start", order).alias("p"),
+        F.array_sort(F.collect_list(F.struct("__r", F.coalesce("text", F.lit("")).alias("text")))).alias("xs"),
     )
+    title = F.coalesce("h", F.concat(F.lit("Untitled (p. "), F.col("p").cast("string"), F.lit(")")))
+    whole = F.concat(title, F.lit("\n\n"), F.array_join(F.col("xs.text"), "\n\n"))
+    return parts.select(doc, "section_index", truncated_to_tokens(whole, budget, per_word).alias("synopsis"))
 
 
 def index_entries(
@@ -131,10 +161,13 @@ def index_entries(
     spelling. A document's entries stay if there are enough of them, fewer being enough under a heading.
     """
     w = Window.partitionBy(doc)
+    sizes = pages.groupBy(doc).agg(F.count(F.lit(1)).alias("__n"))
     last = F.least(F.greatest(F.lit(least), F.floor(F.col("__n") * tail_share)), F.lit(most))
+    # no more than ``most`` pages of a document leave their task
     tail = (
-        pages.withColumn("__n", F.count(F.lit(1)).over(w))
-        .withColumn("__r", F.row_number().over(w.orderBy(F.col(page).desc())))
+        pages.withColumn("__r", F.row_number().over(w.orderBy(F.col(page).desc())))
+        .where(F.col("__r") <= most)
+        .join(sizes, doc)
         .where(F.col("__r") <= last)
     )
     headed = F.col(content).rlike(r"(?im)^[ \t]*(#{1,6}\s+)?index[ \t\r]*$")

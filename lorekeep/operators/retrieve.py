@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorekeep.functions.concepts import normalize_concept
+from lorekeep.functions.grams import offered_keys
 from lorekeep.functions.text import (
     GLOSSARY_CAP,
     GLOSSARY_WEIGHT,
@@ -18,7 +20,10 @@ from lorekeep.functions.text import (
     question_terms,
     rule_weight,
 )
+from lorekeep.functions.vectors import cosine
+from lorekeep.operators.graph import neighbor_boosts
 from lorekeep.params import Params
+from lorekeep.session import cut, if_small
 
 # query vectors go to the executors in blocks of at most so many bytes
 BLOCK_BYTES = 32 << 20
@@ -27,8 +32,8 @@ BLOCK_BYTES = 32 << 20
 def dense_scores(corpus: DataFrame, queries: DataFrame, k: int, key: str = "corpus_pos", vector: str = "embedding") -> DataFrame:
     """question_id, key, dense, rank: the ``k`` vectors of greatest cosine for each query, ties by ``key``.
 
-    Exact: every vector is compared, in double, with the blocks of query vectors. A batch keeps its k best for each
-    query, and the ranking goes on per question over those only. Vectors of another length are compared over the shorter
+    Exact: every vector is compared, in double, with the blocks of query vectors. A partition keeps its k best for each
+    query, and the ranking goes on per question over those only. Queries are a stated set; each block of them is one scan. Vectors of another length are compared over the shorter
     length; one without length, or with a value that is no number, has the cosine 0, null vectors take no part.
     """
     rows = queries.where("query_vec is not null").select("question_id", "query_vec").orderBy("question_id").collect()
@@ -50,6 +55,9 @@ def dense_scores(corpus: DataFrame, queries: DataFrame, k: int, key: str = "corp
             ids, q = shipped.value
             ids = np.array(ids)
             lengths = np.sqrt((q * q).cumsum(1))
+            cols = np.arange(q.shape[1])
+            # the best of the partition so far: query, key, score
+            held: tuple[np.ndarray, pa.Array, np.ndarray] | None = None
             for batch in batches:
                 lists, keys = batch.column(1), batch.column(0)
                 n = len(lists)
@@ -57,7 +65,6 @@ def dense_scores(corpus: DataFrame, queries: DataFrame, k: int, key: str = "corp
                     continue
                 sizes = np.asarray(lists.value_lengths().fill_null(0))
                 flat = lists.flatten().cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
-                cols = np.arange(q.shape[1])
                 inside = cols[None, :] < sizes[:, None]
                 x = np.zeros((n, q.shape[1]))
                 starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
@@ -75,9 +82,10 @@ def dense_scores(corpus: DataFrame, queries: DataFrame, k: int, key: str = "corp
                 # ties at the edge go by key: all of the least kept score stay until the final ranking
                 edge = -np.partition(-s, m - 1, axis=1)[:, m - 1]
                 r, c = np.nonzero(s >= edge[:, None] - 1e-12)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[r], pa.int64()), keys.take(pa.array(c)), pa.array(s[r, c])], names=["question_id", key, "dense"]
-                )
+                new = (r, keys.take(pa.array(c)), s[r, c])
+                held = new if held is None else _best(held, new, k)
+            if held is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(ids[held[0]], pa.int64()), held[1], pa.array(held[2])], names=["question_id", key, "dense"])
 
         block = corpus.where(F.col(vector).isNotNull()).select(key, vector).mapInArrow(run, f"question_id long, {key} {kind}, dense double")
         found = block if found is None else found.unionAll(block)
@@ -85,14 +93,39 @@ def dense_scores(corpus: DataFrame, queries: DataFrame, k: int, key: str = "corp
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def token_counts(corpus: DataFrame, key: str, text: str) -> DataFrame:
-    """key, token, hits: how often each word, or pair of words around an apostrophe, stands in a text."""
+def _best(held: tuple, new: tuple, k: int) -> tuple:
+    """The k best of each query among two sets of (query, key, score), ties at the edge included."""
+    q = np.concatenate((held[0], new[0]))
+    keys = pa.concat_arrays([held[1].combine_chunks() if isinstance(held[1], pa.ChunkedArray) else held[1], new[1]])
+    s = np.concatenate((held[2], new[2]))
+    order = np.lexsort((-s, q))
+    q, s = q[order], s[order]
+    starts = np.flatnonzero(np.diff(q, prepend=-1))
+    sizes = np.diff(np.append(starts, len(q)))
+    edge = s[np.minimum(starts + k, starts + sizes) - 1]
+    keep = s >= np.repeat(edge, sizes) - 1e-12
+    return q[keep], keys.take(pa.array(order[keep])), s[keep]
+
+
+def token_counts(corpus: DataFrame, key: str, text: str, asked: DataFrame | None = None) -> DataFrame:
+    """key, token, hits: how often each word, or run of words around apostrophes, stands in a text.
+
+    With ``asked`` (token) only those; where they are few they are broadcast, so other words never leave their task.
+    """
     low = F.lower(text)
     words = F.regexp_extract_all(low, F.lit("([a-z0-9_]+)"), F.lit(1))
-    joined = F.regexp_extract_all(low, F.lit("(?<![a-z0-9_])(?=([a-z0-9_]+'[a-z0-9_]+))"), F.lit(1))
-    return (
-        corpus.select(key, F.explode(F.concat(words, joined)).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("hits"))
-    )
+    # from each word on, every longer run that apostrophes join
+    chains = F.regexp_extract_all(low, F.lit("(?<![a-z0-9_])(?=([a-z0-9_]+(?:'+[a-z0-9_]+)+))"), F.lit(1))
+
+    def runs(chain: Column) -> Column:
+        parts = F.regexp_extract_all(chain, F.lit("([a-z0-9_]+|'+)"), F.lit(1))
+        return F.transform(F.sequence(F.lit(3), F.size(parts), F.lit(2)), lambda n: F.array_join(F.slice(parts, 1, n), ""))
+
+    joined = F.when(F.contains(low, F.lit("'")), F.flatten(F.transform(chains, runs))).otherwise(F.array().cast("array<string>"))
+    each = corpus.select(key, F.explode(F.concat(words, joined)).alias("token"))
+    if asked is not None:
+        each = each.join(if_small(asked, F.length("token") + 24), "token", "left_semi")
+    return each.groupBy(key, "token").agg(F.count(F.lit(1)).alias("hits"))
 
 
 def question_words(questions: DataFrame) -> DataFrame:
@@ -108,8 +141,9 @@ def lexical_scores(corpus: DataFrame, questions: DataFrame, key: str = "corpus_p
     shares nothing with. A text that introduces a term like a glossary is found by its own back-reference.
     """
     terms = question_words(questions)
+    asked = terms.select(F.col("term").alias("token")).distinct()
     matched = (
-        terms.join(token_counts(corpus, key, text), F.col("term") == F.col("token"))
+        terms.join(token_counts(corpus, key, text, asked), F.col("term") == F.col("token"))
         .groupBy("question_id", key, "n_terms")
         .agg(F.count(F.lit(1)).alias("k"), F.sum("hits").alias("hits"))
     )
@@ -141,40 +175,84 @@ def ranked(scores: DataFrame, by: str, k: int, key: str = "corpus_pos", name: st
     return scores.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
 
 
-def define_lane(questions: DataFrame, sections: DataFrame, top: int, weight: float) -> DataFrame:
-    """question_id, chunk_id, hits, boost: chunks of sections that define a concept a question may name.
+def concept_matches(questions: DataFrame, keys: DataFrame) -> DataFrame:
+    """question_id, phrase, define: phrases of questions and defined concepts (define) that overlap loosely.
 
-    Phrases meet keys over shared words, or in full, before the loose comparison, never every phrase with every key.
+    One contains the other, so the shorter one's first characters are a key that the longer one offers too: containment is an
+    equi-join both ways. Strings of four characters overlap as whole words at an end, those of three only in full.
     """
-    from lorekeep.functions.concepts import normalize_concept
-
     phrases = questions.select("question_id", F.explode(concept_phrases(F.col("question"))).alias("phrase")).distinct()
-    keys = (
-        sections.select(F.explode("defines").alias("c")).select(normalize_concept(F.col("c")).alias("define")).where("length(define) >= 3").distinct()
-    )
+    tiers = (8, 5)
+
+    def short_key(c: str) -> Column:
+        return F.when(F.length(c) >= 8, F.substring(c, 1, 8)).when(F.length(c) >= 5, F.substring(c, 1, 5))
 
-    def grams(c: str):
-        return F.explode(F.array_distinct(F.split(F.col(c), "[^a-z0-9]+")))
+    def at_ends(c: str) -> Column:
+        # whole words of four characters at the ends
+        return F.array_compact(
+            F.array(F.regexp_extract(c, r"^(.{4}) ", 1), F.regexp_extract(c, r" (.{4})$", 1))
+        )
 
+    def offers(df: DataFrame, c: str) -> DataFrame:
+        keys_of = F.array_union(F.array_union(offered_keys(F.col(c), tiers), at_ends(c)), F.array(c))
+        return df.withColumn("g", F.explode(F.filter(keys_of, lambda x: x != "")))
+
+    def looks(df: DataFrame, c: str) -> DataFrame:
+        return df.withColumn("g", F.coalesce(short_key(c), F.col(c)))
+
+    defines = keys.select("define").distinct()
     pairs = (
-        phrases.withColumn("w", grams("phrase")).where("w <> ''")
-        .join(keys.withColumn("w", grams("define")).where("w <> ''"), "w")
-        .select("question_id", "phrase", "define").distinct()
-        .where(concepts_overlap(F.col("define"), F.col("phrase")))
+        looks(phrases, "phrase").join(offers(defines, "define"), "g").select("question_id", "phrase", "define")
+        .unionAll(offers(phrases, "phrase").join(looks(defines, "define"), "g").select("question_id", "phrase", "define"))
     )
-    chunks = (
-        sections.select("chunk_ids", F.explode("defines").alias("c"))
-        .select(normalize_concept(F.col("c")).alias("define"), F.explode("chunk_ids").alias("chunk_id"))
-        .distinct()
+    return pairs.where(concepts_overlap(F.col("define"), F.col("phrase"))).distinct()
+
+
+def define_lane(questions: DataFrame, sections: DataFrame, top: int, weight: float, places: DataFrame | None = None) -> DataFrame:
+    """question_id, chunk_id, hits, boost: chunks of sections that define a concept a question may name, the ``top`` best.
+
+    Hits count pairs of phrase and concept; the boost grows with up to four. ``places`` (chunk_id, corpus_pos) leaves out
+    chunks that are not there and settles ties by position, else by id.
+    """
+    keys = (
+        sections.select(F.explode("defines").alias("c"), "chunk_ids")
+        .select(normalize_concept(F.col("c")).alias("define"), "chunk_ids")
+        .where("length(define) >= 3")
     )
-    hits = pairs.join(chunks, "define").groupBy("question_id", "chunk_id").agg(F.count(F.lit(1)).alias("hits"))
-    w = Window.partitionBy("question_id").orderBy(F.col("hits").desc(), "chunk_id")
+    pairs = concept_matches(questions, keys)
+    chunks = keys.select("define", F.explode("chunk_ids").alias("chunk_id")).distinct()
+    order = "chunk_id"
+    if places is not None:
+        chunks, order = chunks.join(places.select("chunk_id", "corpus_pos"), "chunk_id"), "corpus_pos"
+    named = list(dict.fromkeys(["question_id", "chunk_id", order]))
+    hits = pairs.join(chunks, "define").groupBy(*named).agg(F.count(F.lit(1)).alias("hits"))
+    w = Window.partitionBy("question_id").orderBy(F.col("hits").desc(), order)
     return (
         hits.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top)
         .select("question_id", "chunk_id", "hits", (F.least("hits", F.lit(4)) * F.lit(weight)).alias("boost"))
     )
 
 
+def define_debug(questions: DataFrame, sections: DataFrame, lane: DataFrame, most: int = 48) -> DataFrame:
+    """question_id, phrase_count, chunks_seeded, matched_pairs: what the define lane looked for and found."""
+    keys = sections.select(F.explode("defines").alias("c")).select(normalize_concept(F.col("c")).alias("define")).where("length(define) >= 3")
+    w = Window.partitionBy("question_id").orderBy("phrase", "define")
+    pairs = (
+        concept_matches(questions, keys)
+        .withColumn("r", F.row_number().over(w))
+        .where(F.col("r") <= most)
+        .groupBy("question_id")
+        .agg(F.array_sort(F.collect_list(F.concat("phrase", F.lit("↔"), "define"))).alias("matched_pairs"))
+    )
+    seeded = lane.groupBy("question_id").agg(F.count(F.lit(1)).alias("chunks_seeded"))
+    asked = questions.select("question_id", F.size(concept_phrases(F.col("question"))).alias("phrase_count"))
+    none = F.array().cast("array<string>")
+    return (
+        asked.join(seeded, "question_id", "left").join(pairs, "question_id", "left")
+        .select("question_id", "phrase_count", F.coalesce("chunks_seeded", F.lit(0)).alias("chunks_seeded"), F.coalesce("matched_pairs", none).alias("matched_pairs"))
+    )
+
+
 def diverse(ranked_rows: DataFrame, k: int, cap: int, doc: str = "doc_id", rank: str = "rank") -> DataFrame:
     """``k`` rows of each question with at most ``cap`` of a document, then the best of the rest; ``pick`` is the place."""
     by_doc = Window.partitionBy("question_id", doc).orderBy(rank)
@@ -197,12 +275,23 @@ def with_neighbors(picked: DataFrame, corpus: DataFrame, window: int, top: int,
     return held.withColumn("place", F.row_number().over(w)).select("question_id", doc, index, "place")
 
 
-def router_boosts(doc_vectors: DataFrame, queries: DataFrame, weight: float, doc: str = "doc_id") -> DataFrame:
-    """question_id, doc, boost: cosine of question and document summary over the greatest of the question, times weight."""
-    n = doc_vectors.count()
-    scores = dense_scores(doc_vectors, queries, max(1, n), doc, "embedding")
-    most = F.greatest(F.max("dense").over(Window.partitionBy("question_id")), F.lit(1e-12))
-    return scores.select("question_id", doc, (F.col("dense") / most * weight).alias("boost"))
+def router_boosts(doc_vectors: DataFrame, queries: DataFrame, weight: float, doc: str = "doc_id", pool: DataFrame | None = None) -> DataFrame:
+    """question_id, doc, boost: cosine of question and document summary over the greatest of the question, times weight.
+
+    The greatest is an exact top-1 over all documents. With ``pool`` (question_id, doc) only the boosts of its pairs are
+    computed, else those of every pair of question and document.
+    """
+    best = dense_scores(doc_vectors, queries, 1, doc, "embedding").select("question_id", F.greatest("dense", F.lit(1e-12)).alias("most"))
+    if pool is None:
+        scores = dense_scores(doc_vectors, queries, max(1, doc_vectors.count()), doc, "embedding").select("question_id", doc, "dense")
+    else:
+        scores = (
+            pool.select("question_id", doc).distinct()
+            .join(doc_vectors.select(doc, "embedding"), doc)
+            .join(queries.where("query_vec is not null").select("question_id", "query_vec"), "question_id")
+            .select("question_id", doc, cosine(F.col("query_vec"), F.col("embedding")).alias("dense"))
+        )
+    return scores.join(best, "question_id").select("question_id", doc, (F.col("dense") / F.col("most") * weight).alias("boost"))
 
 
 def hint_boosts(entries: DataFrame, questions: DataFrame, chunks: DataFrame, weight: float, doc: str = "doc_id") -> DataFrame:
@@ -218,40 +307,74 @@ def hint_boosts(entries: DataFrame, questions: DataFrame, chunks: DataFrame, wei
     return pages.join(on, [doc, "page"]).select("question_id", "chunk_id").distinct().withColumn("boost", F.lit(weight))
 
 
-def hybrid(corpus: DataFrame, questions: DataFrame, p: Params, extra: DataFrame | None = None) -> DataFrame:
-    """question_id, corpus_pos, doc_id, chunk_index, score, rank, pick: the fused ranking with its picks.
+def settled(corpus: DataFrame) -> DataFrame:
+    """``corpus`` written once, so that its lanes do not each settle the current rows anew."""
+    return cut(corpus)
 
-    ``corpus``: corpus_pos, chunk_id, doc_id, chunk_index, text, embedding. ``extra`` (question_id, chunk_id, boost) adds the
-    boosts of further lanes and brings their chunks into the pool. Lanes of weight 0 are not built at all.
+
+def hybrid(corpus: DataFrame, questions: DataFrame, p: Params, sections: DataFrame | None = None, hints: DataFrame | None = None, doc_vectors: DataFrame | None = None, lex: DataFrame | None = None) -> DataFrame:
+    """question_id, corpus_pos, chunk_id, doc_id, chunk_index, score, rank, pick: the fused ranking with its picks.
+
+    ``corpus``: corpus_pos, chunk_id, doc_id, chunk_index, page_start, page_end, text, embedding; cheap to read, see
+    ``settled``. ``sections``: section_id, doc_id, title, see_also, defines, refs, chunk_ids, for the lanes of graph and
+    concepts. ``hints``: doc_id, topic_norm, pages. ``doc_vectors``: doc_id, embedding. ``lex``: ``lexical_scores`` of both, if
+    they are there already. The pool joins the lanes in the
+    order dense, lexical, graph, concepts; document router and index hints only add to scores. A lane of weight 0, or one
+    without its table, is not built.
     """
-    dense = dense_scores(corpus, questions, max(p.candidate_pool, p.top_k))
-    lex = lexical_scores(corpus, questions)
-    lane = ranked(lex, "lex", p.lexical_top)
+    # both are read by several lanes
+    dense = cut(dense_scores(corpus, questions, max(p.candidate_pool, p.top_k, p.graph_seeds if p.graph_weight > 0 else 0)))
+    lex = cut(lexical_scores(corpus, questions)) if lex is None else lex
     on = ["question_id", "corpus_pos"]
-    pool = dense.select(*on, F.struct(F.lit(0).alias("lane"), F.col("rank").alias("r")).alias("o")).unionAll(
-        lane.select(*on, F.struct(F.lit(1).alias("lane"), F.col("rank").alias("r")).alias("o"))
-    )
-    place = corpus.select("corpus_pos", "chunk_id", "doc_id", "chunk_index")
-    if extra is not None:
-        added = extra.groupBy("question_id", "chunk_id").agg(F.sum("boost").alias("added")).join(place.select("chunk_id", "corpus_pos"), "chunk_id")
-        pool = pool.unionAll(added.select(*on, F.struct(F.lit(2).alias("lane"), F.lit(0).alias("r")).alias("o")))
-    pool = pool.groupBy(*on).agg(F.min("o").alias("o"))
-    vectors = corpus.select("corpus_pos", "embedding")
-    from lorekeep.functions.vectors import cosine
-
-    asked = questions.select("question_id", "query_vec")
+    place = corpus.select("corpus_pos", "chunk_id", "doc_id", "chunk_index", "page_start", "page_end")
+
+    def lane(df: DataFrame, no: int, rank: Column) -> DataFrame:
+        return df.select(*on, F.struct(F.lit(no).alias("lane"), rank.cast("int").alias("r")).alias("o"))
+
+    lanes = [lane(dense.where(F.col("rank") <= max(p.candidate_pool, p.top_k)), 0, F.col("rank"))]
+    if p.lexical_top > 0:
+        lanes.append(lane(ranked(lex, "lex", p.lexical_top), 1, F.col("rank")))
+    added: list[DataFrame] = []
+
+    def adds(df: DataFrame) -> None:
+        added.append(df.select(*on, "boost"))
+
+    if p.graph_weight > 0 and sections is not None:
+        named = dense.where(F.col("rank") <= p.graph_seeds).join(place, "corpus_pos").select("question_id", "chunk_id")
+        found = neighbor_boosts(named, sections, p.graph_edge_types, p.graph_per_hit, p.graph_weight).join(place, "chunk_id")
+        by_place = Window.partitionBy("question_id").orderBy("corpus_pos")
+        lanes.append(lane(found, 2, F.row_number().over(by_place)))
+        adds(found)
+    if p.define_weight > 0 and sections is not None:
+        found = define_lane(questions, sections, p.define_top, p.define_weight, place).join(place, "chunk_id")
+        by_hits = Window.partitionBy("question_id").orderBy(F.col("hits").desc(), "corpus_pos")
+        lanes.append(lane(found, 3, F.row_number().over(by_hits)))
+        adds(found)
+    pool = lanes[0]
+    for more in lanes[1:]:
+        pool = pool.unionAll(more)
+    # a few hundred rows a question, read by every lane that only adds
+    pool = cut(pool.groupBy(*on).agg(F.min("o").alias("o")).join(place, "corpus_pos"))
+    if p.index_hint_boost > 0 and hints is not None:
+        adds(hint_boosts(hints, questions, pool.select("chunk_id", "corpus_pos", "doc_id", "page_start", "page_end").distinct(), p.index_hint_boost).join(pool.select(*on, "chunk_id"), ["question_id", "chunk_id"]))
+    if p.doc_router_weight > 0 and doc_vectors is not None:
+        adds(router_boosts(doc_vectors, questions, p.doc_router_weight, "doc_id", pool).join(pool.select(*on, "doc_id"), ["question_id", "doc_id"]))
+    vectors = pool.select("corpus_pos").distinct().join(corpus.select("corpus_pos", "embedding"), "corpus_pos")
     scored = (
-        pool.join(dense.select(*on, "dense"), on, "left")
+        pool.join(dense.select(*on, F.col("dense").alias("known")), on, "left")
         .join(vectors, "corpus_pos")
-        .join(asked, "question_id")
-        .withColumn("dense", F.coalesce("dense", cosine(F.col("query_vec"), F.col("embedding")), F.lit(0.0)))
-        .drop("embedding", "query_vec")
+        .join(questions.select("question_id", "query_vec"), "question_id")
+        .withColumn("dense", F.coalesce("known", cosine(F.col("query_vec"), F.col("embedding")), F.lit(0.0)))
+        .drop("embedding", "query_vec", "known")
         .join(lex.select(*on, "ratio", "boost"), on, "left")
     )
     score = F.col("dense") + F.coalesce("ratio", F.lit(0.0)) * p.lexical_weight + F.coalesce("boost", F.lit(0.0))
-    if extra is not None:
-        scored = scored.join(added.select(*on, "added"), on, "left")
+    if added:
+        total = added[0]
+        for more in added[1:]:
+            total = total.unionAll(more)
+        scored = scored.join(total.groupBy(*on).agg(F.sum("boost").alias("added")), on, "left")
         score = score + F.coalesce("added", F.lit(0.0))
     w = Window.partitionBy("question_id").orderBy(F.round("score", 9).desc(), "o", "corpus_pos")
-    fused = scored.withColumn("score", score).withColumn("rank", F.row_number().over(w)).select(*on, "score", "rank")
-    return diverse(fused.join(place, "corpus_pos"), p.top_k, p.max_per_document)
+    fused = scored.withColumn("score", score).withColumn("rank", F.row_number().over(w))
+    return diverse(fused.select(*on, "chunk_id", "doc_id", "chunk_index", "score", "rank"), p.top_k, p.max_per_document)

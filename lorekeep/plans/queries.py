@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import dataclasses
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lorekeep.functions import parsing as ps
 from lorekeep.functions import text as tx
 from lorekeep.functions.concepts import normalize_concept
 from lorekeep.functions.snippets import focused
+from lorekeep.operators import ask as ak
 from lorekeep.operators import citations as ci
+from lorekeep.operators import enrich as en
 from lorekeep.operators import graph as gr
 from lorekeep.operators import ingest as ing
 from lorekeep.operators import prompt as pr
 from lorekeep.operators import retrieve as rt
 from lorekeep.operators.current import current_rows
 from lorekeep.params import Params
+from lorekeep.session import cut
 from lorekeep.sources.tables import table
 
 P = Params()
+# with every lane on
+ALL_LANES = dataclasses.replace(P, graph_weight=0.1, define_weight=0.05, doc_router_weight=0.1)
 # a search takes every hundredth question as its stated set of queries, against all rows
 EVERY = 100
 SYSTEM = "Answer from the excerpts only. Cite the CHUNK_ID of every excerpt you use. Say so if they do not answer."
@@ -40,8 +48,8 @@ def _questions(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return table(spark, d, "questions").select("question_id", *columns).dropDuplicates(["question_id"])
 
 
-def _asked(spark: SparkSession, d: str) -> DataFrame:
-    return _questions(spark, d, "question", "query_vec").where(F.col("question_id") % EVERY == 0)
+def _asked(spark: SparkSession, d: str, every: int, *more: str) -> DataFrame:
+    return _questions(spark, d, "question", "query_vec", *more).where(F.col("question_id") % every == 0)
 
 
 def _results(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -49,9 +57,30 @@ def _results(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return current_rows(df, ["result_id"], "answered_at").drop("answered_at")
 
 
-def _corpus(spark: SparkSession, d: str) -> DataFrame:
-    df = _chunks(spark, d, "corpus_pos", "doc_id", "chunk_index", "page_start", "page_end", "section_heading", "text", "embedding")
-    return df.withColumn("text", tx.surface(F.col("section_heading"), F.coalesce("text", F.lit(""))))
+def _corpus(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    df = _chunks(spark, d, "corpus_pos", "section_heading", "text", *columns)
+    return df.withColumn("text", tx.surface(F.col("section_heading"), F.coalesce("text", F.lit("")))).drop("section_heading")
+
+
+def _full_corpus(spark: SparkSession, d: str) -> DataFrame:
+    # every lane reads it
+    return rt.settled(_corpus(spark, d, "doc_id", "chunk_index", "page_start", "page_end", "embedding"))
+
+
+def _graph_sections(spark: SparkSession, d: str) -> DataFrame:
+    # read by each step of an expansion
+    return cut(_sections(spark, d, "doc_id", "section_index", "title", "see_also", "defines", "refs", "chunk_ids"))
+
+
+def _doc_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, embedding: the mean of a document's usable section vectors."""
+    usable = _sections(spark, d, "doc_id", "embedding").where("size(embedding) = 64 and not exists(embedding, x -> x is null or isnan(x))")
+    sums = usable.groupBy("doc_id").agg(*(F.avg(F.get("embedding", F.lit(i))).alias(f"x{i}") for i in range(64)))
+    return sums.select("doc_id", F.array(*(F.col(f"x{i}") for i in range(64))).alias("embedding"))
+
+
+def _hints(spark: SparkSession, d: str) -> DataFrame:
+    return cut(ing.index_entries(_pages(spark, d, "content")))
 
 
 def text_keys(spark: SparkSession, d: str) -> DataFrame:
@@ -77,49 +106,60 @@ def concept_phrases(spark: SparkSession, d: str) -> DataFrame:
     return q.select("question_id", F.array_join(F.array_sort(tx.concept_phrases(F.col("question"))), "|").alias("phrases"))
 
 
-def dense_topk(spark: SparkSession, d: str) -> DataFrame:
+def dense_topk(spark: SparkSession, d: str, every: int = EVERY) -> DataFrame:
     """The chunks of greatest cosine for the stated questions."""
     corpus = _chunks(spark, d, "corpus_pos", "embedding")
-    found = rt.dense_scores(corpus, _asked(spark, d), P.top_k)
+    found = rt.dense_scores(corpus, _asked(spark, d, every), P.top_k)
     return found.select("question_id", "corpus_pos", F.round("dense", 5).alias("dense"), "rank")
 
 
-def lexical_topk(spark: SparkSession, d: str) -> DataFrame:
+def lexical_topk(spark: SparkSession, d: str, every: int = EVERY) -> DataFrame:
     """The lexical lane for the stated questions."""
-    found = rt.ranked(rt.lexical_scores(_corpus(spark, d), _asked(spark, d)), "lex", P.lexical_top)
+    found = rt.ranked(rt.lexical_scores(_corpus(spark, d), _asked(spark, d, every)), "lex", P.lexical_top)
     return found.select("question_id", "corpus_pos", F.round("lex", 6).alias("lex"), "rank")
 
 
-def _picked(spark: SparkSession, d: str) -> DataFrame:
-    return rt.hybrid(_corpus(spark, d), _asked(spark, d), P)
+def _shown(picked: DataFrame) -> DataFrame:
+    return picked.select("question_id", "corpus_pos", "doc_id", "chunk_index", F.round("score", 5).alias("score"), "rank", "pick")
+
+
+def hybrid_retrieve(spark: SparkSession, d: str, every: int = EVERY) -> DataFrame:
+    """The picks of the fused ranking for the stated questions, with the default weights: dense, lexical and index hints."""
+    return _shown(rt.hybrid(_full_corpus(spark, d), _asked(spark, d, every), P, hints=_hints(spark, d)))
 
 
-def hybrid_retrieve(spark: SparkSession, d: str) -> DataFrame:
-    """The picks of the fused ranking for the stated questions."""
-    return _picked(spark, d).select("question_id", "corpus_pos", "doc_id", "chunk_index", F.round("score", 5).alias("score"), "rank", "pick")
+def hybrid_all_lanes(spark: SparkSession, d: str, every: int = EVERY) -> DataFrame:
+    """The picks of the fused ranking with the lanes of graph, concepts and document router too."""
+    found = rt.hybrid(_full_corpus(spark, d), _asked(spark, d, every), ALL_LANES, _graph_sections(spark, d), _hints(spark, d), _doc_vectors(spark, d))
+    return _shown(found)
 
 
-def neighbor_expand(spark: SparkSession, d: str) -> DataFrame:
-    """The best lexical chunks, capped by document, with the chunks around the first ones."""
-    corpus = _corpus(spark, d).select("corpus_pos", "doc_id", "chunk_index", "text")
-    lex = rt.ranked(rt.lexical_scores(corpus, _asked(spark, d)), "lex", P.lexical_top)
-    picked = rt.diverse(lex.join(corpus.select("corpus_pos", "doc_id", "chunk_index"), "corpus_pos"), P.top_k, P.max_per_document)
+def neighbor_expand(spark: SparkSession, d: str, every: int = EVERY) -> DataFrame:
+    """The picks of the fused ranking with the chunks around the first ones."""
+    corpus = _full_corpus(spark, d)
+    picked = rt.hybrid(corpus, _asked(spark, d, every), P, hints=_hints(spark, d))
     return rt.with_neighbors(picked, corpus, P.neighbor_window, P.neighbor_expand_top)
 
 
-def router_boosts(spark: SparkSession, d: str) -> DataFrame:
+def router_boosts(spark: SparkSession, d: str, every: int = EVERY) -> DataFrame:
     """Document boosts from mean section vectors."""
-    usable = _sections(spark, d, "doc_id", "embedding").where("size(embedding) = 64 and not exists(embedding, x -> x is null or isnan(x))")
-    mean = usable.select("doc_id", F.posexplode("embedding").alias("i", "x")).groupBy("doc_id", "i").agg(F.avg("x").alias("x"))
-    vectors = mean.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).select("doc_id", F.col("v.x").alias("embedding"))
-    found = rt.router_boosts(vectors, _asked(spark, d), 0.1)
+    found = rt.router_boosts(_doc_vectors(spark, d), _asked(spark, d, every), ALL_LANES.doc_router_weight)
     return found.select("question_id", "doc_id", F.round("boost", 5).alias("boost"))
 
 
 def define_lane(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of sections that define a concept a question may name."""
     sections = _sections(spark, d, "defines", "chunk_ids")
-    return rt.define_lane(_questions(spark, d, "question"), sections, P.define_top, 0.05)
+    found = rt.define_lane(_questions(spark, d, "question"), sections, P.define_top, 0.05)
+    return found.select("question_id", "chunk_id", "hits", F.round("boost", 6).alias("boost"))
+
+
+def define_debug(spark: SparkSession, d: str) -> DataFrame:
+    """What the concept lane looked for and found."""
+    sections = _sections(spark, d, "defines", "chunk_ids")
+    q = _questions(spark, d, "question")
+    found = rt.define_debug(q, sections, rt.define_lane(q, sections, P.define_top, 0.05))
+    return found.select("question_id", "phrase_count", "chunks_seeded", F.array_join("matched_pairs", "|").alias("matched_pairs"))
 
 
 def page_segments(spark: SparkSession, d: str) -> DataFrame:
@@ -151,9 +191,8 @@ def section_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def concept_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Sections that refer to what others define."""
-    edges = gr.concept_edges(_sections(spark, d, "defines", "refs"))
-    return edges.groupBy("src", "type").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("concept").alias("concepts"))
+    """How many edges over concepts leave each section, as a reference or as a definition, and over how many concepts."""
+    return gr.concept_links(_sections(spark, d, "defines", "refs"))
 
 
 def see_also_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -161,13 +200,13 @@ def see_also_edges(spark: SparkSession, d: str) -> DataFrame:
     return gr.see_also_edges(_sections(spark, d, "doc_id", "title", "see_also")).select("src", "dst", "type", "weight")
 
 
-def graph_boosts(spark: SparkSession, d: str) -> DataFrame:
+def graph_boosts(spark: SparkSession, d: str, every: int = EVERY) -> DataFrame:
     """Chunks next to the best chunks of the stated questions in the section graph."""
-    sections = _sections(spark, d, "doc_id", "title", "see_also", "defines", "refs", "chunk_ids")
-    edges = gr.distinct_edges(gr.concept_edges(sections).unionAll(gr.see_also_edges(sections)))
-    seeds = rt.dense_scores(_chunks(spark, d, "corpus_pos", "embedding"), _asked(spark, d), P.graph_seeds)
+    chunks = _chunks(spark, d, "corpus_pos", "embedding")
+    seeds = rt.dense_scores(chunks, _asked(spark, d, every), P.graph_seeds)
     named = seeds.join(_chunks(spark, d, "corpus_pos"), "corpus_pos").select("question_id", "chunk_id")
-    return gr.neighbor_boosts(named, sections, edges, P.graph_edge_types, P.graph_per_hit, 0.1)
+    found = gr.neighbor_boosts(named, _graph_sections(spark, d), P.graph_edge_types, P.graph_per_hit, 0.1)
+    return found.select("question_id", "chunk_id", F.round("boost", 6).alias("boost"))
 
 
 def doc_summaries(spark: SparkSession, d: str) -> DataFrame:
@@ -176,6 +215,36 @@ def doc_summaries(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", F.array_join("top_concepts", "|").alias("top_concepts"), F.array_join("authoritative_for", "|").alias("authoritative_for"))
 
 
+def document_notes(spark: SparkSession, d: str) -> DataFrame:
+    """The map of contents of every document."""
+    s = _sections(spark, d, "doc_id", "section_index", "title", "concepts", "defines", "refs")
+    labels = current_rows(table(spark, d, "library_docs").select("doc_id", "label", "sha256", "created_at").distinct(), ["doc_id"], "created_at").select("doc_id", "label")
+    found = gr.document_notes(gr.document_summaries(s), gr.rollups(s), labels)
+    return found.select("doc_id", "scope_summary", F.md5("rollup").alias("rollup_md5"), F.length("rollup").alias("rollup_chars"))
+
+
+def section_synopses(spark: SparkSession, d: str) -> DataFrame:
+    """Title and text of every section of the current chunks, cut to 700 tokens."""
+    chunks = _chunks(spark, d, "doc_id", "chunk_index", "section_heading", "page_start", "text")
+    found = ing.section_synopses(chunks)
+    return found.select("doc_id", "section_index", F.md5("synopsis").alias("synopsis_md5"))
+
+
+def enrich_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Concept lists of the sections' synopses, from outputs that are kept under a digest of the synopsis.
+
+    The outputs are those lists of the table that a model would have written, for every section whose synopsis is there.
+    """
+    s = _sections(spark, d, "synopsis", "concepts", "defines", "refs", "see_also")
+    raw = F.to_json(
+        F.struct("concepts", F.col("defines").alias("definesConcepts"), F.col("refs").alias("referencesConcepts"), F.col("see_also").alias("seeAlsoTitles"))
+    )
+    keyed = s.select(ps.enrichment_key(F.coalesce("synopsis", F.lit(""))).alias("cache_key"), "section_id", raw.alias("raw"))
+    outputs = keyed.groupBy("cache_key").agg(F.min_by("raw", "section_id").alias("raw"))
+    found = en.enriched(s.select("section_id", "synopsis"), outputs)
+    return found.select("section_id", "cache_key", *(F.array_join(c, "|").alias(c) for c in ("concepts", "defines", "refs")), "enriched")
+
+
 def index_entries(spark: SparkSession, d: str) -> DataFrame:
     """Back-of-book indexes."""
     found = ing.index_entries(_pages(spark, d, "content"))
@@ -184,9 +253,8 @@ def index_entries(spark: SparkSession, d: str) -> DataFrame:
 
 def index_hint_boosts(spark: SparkSession, d: str) -> DataFrame:
     """Chunks on the pages that an index names for a question's terms."""
-    entries = ing.index_entries(_pages(spark, d, "content"))
     chunks = _chunks(spark, d, "doc_id", "page_start", "page_end")
-    return rt.hint_boosts(entries, _questions(spark, d, "question"), chunks, P.index_hint_boost)
+    return rt.hint_boosts(_hints(spark, d), _questions(spark, d, "question"), chunks, P.index_hint_boost)
 
 
 def history_budget(spark: SparkSession, d: str) -> DataFrame:
@@ -207,25 +275,76 @@ def thread_depth(spark: SparkSession, d: str) -> DataFrame:
     return pr.thread_depth(pr.history_turns(_questions(spark, d, "history"))).select("question_id", "turn", "role", "depth")
 
 
-def _in_prompt(spark: SparkSession, d: str) -> DataFrame:
-    corpus = _corpus(spark, d).select("corpus_pos", "chunk_id", "text")
-    lane = rt.ranked(rt.lexical_scores(corpus, _asked(spark, d)), "lex", P.lexical_top)
-    placed = pr.blended(lane, P.reorder_blend).join(corpus, "corpus_pos")
-    body = F.concat(F.lit("[CHUNK_ID: "), F.col("chunk_id"), F.lit("]\n"), F.col("text"), F.lit("\n"))
-    counted = placed.withColumn("excerpt", body).withColumn("tokens", tx.estimated_tokens(F.col("excerpt")))
-    return pr.within_budget(counted, "tokens", P.excerpt_budget)
+def _in_prompt(spark: SparkSession, d: str, every: int) -> DataFrame:
+    return ak.excerpts(_full_corpus(spark, d), _asked(spark, d, every), P, hints=_hints(spark, d))
 
 
-def prompt_budget(spark: SparkSession, d: str) -> DataFrame:
+def prompt_budget(spark: SparkSession, d: str, every: int = EVERY) -> DataFrame:
     """Which excerpts enter the prompt of the stated questions."""
-    return _in_prompt(spark, d).select("question_id", "chunk_id", "place", "tokens", "total_tokens")
+    return _in_prompt(spark, d, every).select("question_id", "chunk_id", "place", "tokens", "total_tokens")
 
 
-def prompt_text(spark: SparkSession, d: str) -> DataFrame:
+def prompt_text(spark: SparkSession, d: str, every: int = EVERY) -> DataFrame:
     """The prompts of the stated questions."""
-    asked = _questions(spark, d, "question", "history").where(F.col("question_id") % EVERY == 0)
+    asked = _questions(spark, d, "question", "history").where(F.col("question_id") % every == 0)
     history = pr.history_within(pr.history_turns(asked), P.history_budget)
-    return pr.prompts(_in_prompt(spark, d), asked, SYSTEM, history)
+    found = pr.prompts(_in_prompt(spark, d, every), asked, SYSTEM, history)
+    return found.select("question_id", F.md5("prompt").alias("prompt_md5"), F.length("prompt").alias("prompt_chars"))
+
+
+def request_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Questions that cannot be answered as they stand, with the first reason; the model in use is that of most libraries."""
+    libraries = table(spark, d, "libraries").select("library_id", "embedding_model").distinct()
+    w = Window.orderBy(F.col("n").desc(), "embedding_model")
+    # at most a row for each library
+    model = libraries.groupBy("embedding_model").agg(F.count(F.lit(1)).alias("n")).withColumn("r", F.row_number().over(w)).where("r = 1").select(F.col("embedding_model").alias("model"))
+    asked = _questions(spark, d, "library_id", "question", "history").crossJoin(F.broadcast(model))  # one row
+    return ak.request_errors(asked, libraries, F.col("model"))
+
+
+def _raw_outputs(spark: SparkSession, d: str, every: int) -> DataFrame:
+    """Results of the stated questions as a model's JSON."""
+    r = _results(spark, d, "question_id", "answer", "spoken_summary", "confidence", "citations").where(F.col("question_id") % every == 0)
+    raw = F.to_json(
+        F.struct("answer", F.col("spoken_summary").alias("spokenSummary"), "confidence", F.transform("citations", lambda c: F.concat(F.lit("CHUNK_ID: "), c["chunk_id"])).alias("citedChunkIds"))
+    )
+    return r.select("result_id", "question_id", raw.alias("raw")).join(_questions(spark, d, "question"), "question_id")
+
+
+def ask_results(spark: SparkSession, d: str, every: int = EVERY) -> DataFrame:
+    """Results of the stated questions from retrieval to checked citations, the models' outputs being those of the table."""
+    found = ak.answered(_full_corpus(spark, d), _asked(spark, d, every), _raw_outputs(spark, d, every), P, hints=_hints(spark, d))
+    return _result_row(found)
+
+
+def _result_row(found: DataFrame) -> DataFrame:
+    lists = ("resolved_ids", "unresolved_ids", "dropped_ids", "replaced_ids", "fallback_ids", "supplement_ids", "pruned_ids", "weak_ids")
+    return found.select(
+        "result_id",
+        "confidence",
+        F.array_join(F.transform("citations", lambda c: c["chunk_id"]), ",").alias("final_ids"),
+        F.array_join(F.transform("citations", lambda c: c["page_hint"]), ",").alias("page_hints"),
+        *(F.array_join(c, ",").alias(c) for c in lists),
+        "used_fallback",
+    )
+
+
+def format_results(spark: SparkSession, d: str) -> DataFrame:
+    """The citations of every result after all checks, its prompt being the first six chunks it cites and those after them."""
+    r = _results(spark, d, "question_id", "answer", "spoken_summary", "confidence", "citations")
+    outputs = r.join(_questions(spark, d, "question"), "question_id", "left").select(
+        "result_id", "question", "answer", "spoken_summary", "confidence", F.transform("citations", lambda c: c["chunk_id"]).alias("cited")
+    )
+    corpus = cut(_corpus(spark, d, "doc_id", "chunk_index", "page_start", "page_end").drop("corpus_pos"))
+    cited = ci.cited_ids(r.select("result_id", "citations")).groupBy("result_id", "chunk_id").agg(F.min("ord").alias("ord"))
+    places = corpus.select("chunk_id", "doc_id", "chunk_index")
+    near = cited.join(places, "chunk_id").select("result_id", "ord", "doc_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("add"), "chunk_index")
+    wanted = near.select("result_id", "doc_id", (F.col("chunk_index") + F.col("add")).alias("chunk_index"), (F.col("ord") * 2 + F.col("add")).alias("o"))
+    first = wanted.groupBy("result_id", "doc_id", "chunk_index").agg(F.min("o").alias("o"))
+    # the chunk after each cited one, and the one after that: neighbours that a prompt may hold without the cited one
+    w = Window.partitionBy("result_id").orderBy("o", "doc_id", "chunk_index")
+    prompt = first.join(corpus, ["doc_id", "chunk_index"]).withColumn("place", F.row_number().over(w)).where("place <= 6")
+    return _result_row(ci.formatted(outputs, prompt, corpus, P.provenance_per_document))
 
 
 def citation_resolve(spark: SparkSession, d: str) -> DataFrame:
@@ -237,16 +356,23 @@ def citation_resolve(spark: SparkSession, d: str) -> DataFrame:
 
 
 def near_ids(spark: SparkSession, d: str) -> DataFrame:
-    """Current chunks whose id is a few edits from one that is cited, in the result's library."""
-    cited = _results(spark, d, "library_id", "citations")
-    wanted = ci.cited_ids(cited).join(cited.select("result_id", "library_id"), "result_id").select("library_id", "chunk_id")
-    return ci.near_ids(wanted, _chunks(spark, d, "library_id"), ["library_id"])
+    """For cited ids with a letter missing that name no chunk: the chunk of the same result's citations they are nearest to.
+
+    Each citation of the table is misspelt as a model would, by its document's second letter; ids that are chunks all the same
+    are left out, as they resolve exactly.
+    """
+    cited = ci.cited_ids(_results(spark, d, "citations"))
+    spelt = F.concat(F.substring("chunk_id", 1, 1), F.substring("chunk_id", 3, 1 << 20))
+    chunks = _chunks(spark, d)
+    wanted = cited.select("result_id", spelt.alias("chunk_id")).join(chunks, "chunk_id", "left_anti")
+    known = cited.join(chunks, "chunk_id", "left_semi").select("result_id", "chunk_id", F.col("ord").alias("place"))
+    return ci.near_ids(wanted, known, ["result_id"], 4, "place")
 
 
-def provenance_pick(spark: SparkSession, d: str) -> DataFrame:
+def provenance_pick(spark: SparkSession, d: str, every: int = EVERY) -> DataFrame:
     """Sources for the stated questions where an answer cites none."""
-    corpus = _corpus(spark, d).select("corpus_pos", "doc_id", "text")
-    scores = rt.lexical_scores(corpus, _asked(spark, d)).join(corpus.select("corpus_pos", "doc_id"), "corpus_pos")
+    corpus = _corpus(spark, d, "doc_id")
+    scores = rt.lexical_scores(corpus, _asked(spark, d, every)).join(_chunks(spark, d, "corpus_pos", "doc_id"), "corpus_pos")
     return ci.provenance(scores, 5, P.provenance_per_document).select("question_id", "corpus_pos", F.round("value", 6).alias("value"), "hits", "pick")
 
 
@@ -268,12 +394,13 @@ def snippet_focus(spark: SparkSession, d: str) -> DataFrame:
 
 
 def answer_reconcile(spark: SparkSession, d: str) -> DataFrame:
-    """Confidence and summary of every result after the checks against its answer."""
+    """Confidence and summary of every result after the checks against its answer; a prompt has as many excerpts as chunks are cited and current."""
     r = _results(spark, d, "answer", "spoken_summary", "confidence", "citations")
+    seen = ci.cited_ids(r.select("result_id", "citations")).join(_chunks(spark, d), "chunk_id", "left_semi").groupBy("result_id").agg(F.count(F.lit(1)).alias("seen"))
     answer = F.coalesce("answer", F.lit(""))
-    return r.select(
+    return r.join(seen, "result_id", "left").select(
         "result_id",
-        tx.reconciled_confidence(F.col("confidence"), answer, F.greatest(F.size("citations"), F.lit(0)), F.lit(1)).alias("confidence"),
+        tx.reconciled_confidence(F.col("confidence"), answer, F.greatest(F.size("citations"), F.lit(0)), F.coalesce("seen", F.lit(0))).alias("confidence"),
         tx.reconciled_summary(F.col("spoken_summary"), answer).alias("spoken_summary"),
     )
 
@@ -289,6 +416,19 @@ def model_outputs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def eval_score(spark: SparkSession, d: str) -> DataFrame:
+    """The newest result of every question that was asked again, held against the first: confidence, and the first 12 letters of its answer."""
+    r = _results(spark, d, "question_id", "answer", "confidence").join(
+        current_rows(table(spark, d, "query_results").select("result_id", "answered_at"), ["result_id"], "answered_at"), "result_id"
+    )
+    at = F.struct("answered_at", "result_id")
+    row = F.struct("answer", "confidence")
+    both = r.groupBy("question_id").agg(F.count(F.lit(1)).alias("n"), F.min_by(row, at).alias("a"), F.max_by(row, at).alias("b")).where("n > 1")
+    cases = both.select("question_id", F.col("a.confidence").alias("expected_confidence"), F.substring("a.answer", 1, 12).alias("expected_snippet"))
+    outputs = both.select("question_id", "b.answer", "b.confidence")
+    return ci.eval_scores(outputs, cases).select("question_id", "passed")
+
+
+def grounded_results(spark: SparkSession, d: str) -> DataFrame:
     """Results of each library by confidence, and how many cite a current chunk."""
     cited = citation_resolve(spark, d).groupBy("result_id").agg(F.max(F.col("resolved").cast("int")).alias("ok"))
     r = _results(spark, d, "library_id", "confidence").join(cited, "result_id", "left")
