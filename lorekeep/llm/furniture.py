@@ -14,8 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.spread import if_small
-from lorekeep.session import cut
+from lorekeep.session import cut, if_small
 
 
 def page_keys(content: Column) -> Column:
@@ -62,19 +61,17 @@ def line_members(keyed: DataFrame, need: DataFrame) -> DataFrame:
     each = keyed.select("source", F.explode(F.array_distinct("keys")).alias("key")).where("key <> ''")
     lines = cut(each.groupBy("source", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     heads = lines.select("source", F.col("key").alias("line"), F.col("n").alias("n_line"), F.explode(_halves(F.col("source"), F.col("key"))).alias("half"))
-    # all keys near a line, those on one page included
     near = if_small(heads.drop("source"), F.length("line") + 40)
-    halved = each.select("source", "key", F.explode(_halves(F.col("source"), F.col("key"))).alias("half"))
     one_off = (F.col("key") != F.col("line")) & (F.abs(F.length("key") - F.length("line")) <= 1)
-    pairs = halved.join(near, "half").where(one_off & (F.levenshtein("key", "line", 1) >= 0)).groupBy("source", "key", "line", "n_line").agg(F.count(F.lit(1)).alias("hits"))
-    known = lines.withColumnRenamed("n", "n_key")
-    # a page that shares both halves with a line counts twice in hits: n_key is exact, and one for a lone key
-    others = (
-        pairs.join(if_small(known, F.length("key") + 40), ["source", "key"], "left")
-        .select("source", "key", "line", F.coalesce("n_key", F.lit(1)).alias("n"), "n_line")
-        .where("n <= n_line")
-        .drop("n_line")
-    )
+
+    def close_to(keys: DataFrame) -> DataFrame:
+        halved = keys.select("source", "key", "n", F.explode(_halves(F.col("source"), F.col("key"))).alias("half"))
+        near_keys = halved.join(near, "half").where((F.col("n") <= F.col("n_line")) & one_off & (F.levenshtein("key", "line", 1) >= 0))
+        return near_keys.select("source", "key", "line", "n").distinct()
+
+    # lines among each other, and keys on one page only, which are the many
+    lone = each.join(if_small(lines.select("source", "key"), F.length("key") + 40), ["source", "key"], "left_anti")
+    others = close_to(lines).unionAll(close_to(lone.withColumn("n", F.lit(1).cast("long"))))
     members = cut(lines.select("source", "key", F.col("key").alias("line"), "n").unionAll(others))
     hopeful = members.groupBy("source", "line").agg(F.sum("n").alias("most")).join(need, "source").where("most >= need")
     return cut(members.join(hopeful.select("source", "line", "need"), ["source", "line"]).select("source", "key", "line", "need"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.llm.bytecnn import NEUTRAL, ByteNet, letters
 from lorekeep.llm.language import WordVotes
-from lorekeep.llm.spread import spread
+from lorekeep.llm.spread import spread, spread_rows
 from lorekeep.session import cut
 
 # a template recurs under so many unrelated prompts
@@ -210,7 +210,7 @@ def sound_words(texts: DataFrame, text_col: str) -> DataFrame:
                 }
             )
 
-    some = texts.where(F.col(text_col).isNotNull()).select(text_col)
+    some = spread(texts.where(F.col(text_col).isNotNull()).select(text_col), text_col)
     # read for the total and for the words
     counted = cut(
         some.mapInPandas(run, "word string, df long, lower long, capital long")
@@ -392,7 +392,7 @@ def pair_defects(
             )
 
     seen = cut(
-        spread(rows, id_col).mapInPandas(
+        spread_rows(rows, id_col).mapInPandas(
             inspect,
             f"`{id_col}` {kind}, field string, prompt string, defect string, free boolean, clauses array<string>, mixed array<boolean>",
         )

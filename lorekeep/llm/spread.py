@@ -1,30 +1,27 @@
-"""Enough partitions for a stage that is heavy on CPU, and joins with what is provably small."""
+"""Enough partitions for a stage that is heavy on CPU."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-# what is broadcast has at most so many bytes
-SMALL_BYTES = 8 << 20
+from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """``df`` as it is if its scan has a split for every core, else shuffled by ``key`` into two partitions a core.
+    """A scan as it is if it can feed every core, else shuffled by ``key`` into two partitions a core.
 
-    Splits are counted, not files, so one huge file is not shuffled. Hashing a key, unlike dealing rows round, gives the
-    same partitions when a lost task runs again.
+    It can with a file for every core, or with so many bytes that files of any size have a split for every core; less is
+    little enough to be shuffled. Hashing a key, unlike dealing rows round, gives the same partitions when a lost task
+    runs again.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if len(df.inputFiles()) >= cores or size >= cores * split:
         return df
     return df.repartition(2 * cores, key)
 
 
-def if_small(df: DataFrame, width: Column) -> DataFrame:
-    """``df`` marked for a broadcast if its rows, each of ``width`` bytes, come to at most ``SMALL_BYTES``, else as it is.
-
-    ``df`` should be cheap to read: it is summed up once here. Without the mark the join shuffles; rows are the same.
-    """
-    size = df.agg(F.sum(width.cast("long")).alias("n")).collect()[0]["n"] or 0
-    return F.broadcast(df) if size <= SMALL_BYTES else df
+def spread_rows(df: DataFrame, key: str) -> DataFrame:
+    """What a join or aggregate left, in at least two partitions a core; adaptive execution would join them by bytes alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(2 * cores, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key)
