@@ -121,9 +121,11 @@ def distinct_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy(*key).agg(F.max("weight").alias("weight")).select("src", "dst", "type", F.nullif("concept", F.lit("")).alias("concept"), "weight")
 
 
-def chunk_sections(sections: DataFrame) -> DataFrame:
-    """chunk_id, section_id: the section of each chunk; of several the last one."""
+def chunk_sections(sections: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+    """chunk_id, section_id: the section of each chunk, or of ``chunks`` only; of several the last one."""
     member = sections.select("section_id", "section_index", F.explode("chunk_ids").alias("chunk_id"))
+    if chunks is not None:
+        member = member.join(chunks, "chunk_id", "left_semi")
     return member.groupBy("chunk_id").agg(F.max_by("section_id", F.struct("section_index", "section_id")).alias("section_id"))
 
 
@@ -135,10 +137,8 @@ def neighbor_boosts(seeds: DataFrame, sections: DataFrame, types: tuple[str, ...
     reaches it. Edges are made for the seeds' sections only. Neighbours over one concept all weigh the same, so of a
     concept's sections no more are needed than the largest number passed on, and one.
     """
-    member = sections.select("section_id", "section_index", F.explode("chunk_ids").alias("chunk_id"))
     wanted = cut(seeds.select("question_id", "chunk_id"))
-    near = member.join(if_small(wanted.select("chunk_id").distinct(), F.length("chunk_id") + 24), "chunk_id", "left_semi")
-    of = near.groupBy("chunk_id").agg(F.max_by("section_id", F.struct("section_index", "section_id")).alias("section_id"))
+    of = chunk_sections(sections, if_small(wanted.select("chunk_id").distinct(), F.length("chunk_id") + 24))
     hits = cut(wanted.join(of, "chunk_id").groupBy("question_id", "section_id").agg(F.count(F.lit(1)).alias("n")))
     asked = if_small(hits.select("section_id").distinct(), F.length("section_id") + 24)
     most = (hits.agg(F.max("n").alias("n")).collect()[0]["n"] or 0) * per_hit

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.functions.text import estimated_tokens, surface
+from lorekeep.functions.text import estimated_tokens
 
 
 def blended(ranked: DataFrame, blend: float = 0.48) -> DataFrame:
@@ -18,11 +18,6 @@ def blended(ranked: DataFrame, blend: float = 0.48) -> DataFrame:
     return mixed.withColumn("place", F.row_number().over(w.orderBy(F.round("blend", 9).desc(), "rank")))
 
 
-def excerpt(chunk_id: str, heading: str, text: str):
-    """An excerpt as it stands in a prompt."""
-    return F.concat(F.lit("[CHUNK_ID: "), F.col(chunk_id), F.lit("]\n"), surface(F.col(heading), F.col(text)), F.lit("\n"))
-
-
 def within_budget(rows: DataFrame, tokens: str, budget: int, order: str = "place") -> DataFrame:
     """The first excerpt and all that follow until the running sum of tokens passes the budget."""
     w = Window.partitionBy("question_id").orderBy(order)
@@ -69,3 +64,14 @@ def thread_depth(turns: DataFrame) -> DataFrame:
     """``turns`` with ``depth``: how many user turns there are so far."""
     w = Window.partitionBy("question_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     return turns.withColumn("depth", F.sum((F.col("role") == "user").cast("int")).over(w))
+
+
+def thread_history(messages: DataFrame) -> DataFrame:
+    """thread, seq, role, content: what of each thread may be sent along as its history.
+
+    ``messages``: thread, seq, role, content, answer, status. Only finished messages (no status) of user and assistant; an
+    assistant's answer, where there is one, goes before its content. Messages without either are left out.
+    """
+    said = F.when(F.col("role") == "assistant", F.coalesce("answer", "content")).otherwise(F.col("content"))
+    kept = messages.where("status is null and role in ('user', 'assistant')").select("thread", "seq", "role", said.alias("content"))
+    return kept.where("content is not null")

@@ -12,6 +12,7 @@ from lorekeep.functions import text as tx
 from lorekeep.operators import ask, blocks, enrich
 from lorekeep.operators import graph as gr
 from lorekeep.operators import ingest as ing
+from lorekeep.operators import prompt as pr
 from lorekeep.operators import retrieve as rt
 from lorekeep.params import Params, load_params
 from lorekeep.providers import HashEmbedder, WordEstimate, embedded
@@ -129,6 +130,12 @@ def test_notes(spark):
     assert got["d"].scope_summary.startswith("Book D: rules reference") and got["e"].scope_summary == "All of it." and got["e"].label == "e"
 
 
+def test_thread_history(spark):
+    rows = [("t", 1, "user", "q", None, None), ("t", 2, "assistant", "c", "a", None), ("t", 3, "assistant", "c", "a", "loading"), ("t", 4, "system", "x", None, None), ("u", 1, "assistant", "only", None, None), ("u", 2, "user", None, "a", None)]
+    df = spark.createDataFrame(rows, "thread string, seq int, role string, content string, answer string, status string")
+    assert sorted(tuple(r) for r in pr.thread_history(df).collect()) == [("t", 1, "user", "q"), ("t", 2, "assistant", "a"), ("u", 1, "assistant", "only")]
+
+
 def test_providers(spark):
     df = spark.createDataFrame([(i, None if i == 3 else f"text {i % 2}") for i in range(7)], "i int, t string")
     got = {r.i: r.embedding for r in embedded(df, "t", HashEmbedder(8), batch=2).collect()}
