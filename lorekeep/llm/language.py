@@ -20,7 +20,7 @@ from lorekeep.llm.spread import spread
 # the classifier is fitted on at most so many labelled rows
 MAX_SAMPLES = 5_000
 # what it costs, in log-probability, that the language changes from one sentence to the next
-SWITCH = 3.0
+SWITCH = 2.0
 _FLOOR = -7.0
 
 # fixed values: ISO 639 codes and names of the languages, in English and in the language itself
