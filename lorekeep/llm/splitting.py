@@ -21,10 +21,11 @@ _BOUNDARY = regex.compile(
 FORCED, WORD, SENTENCE, LINE, PARAGRAPH = range(5)
 
 
-def segments(text: str, room: int) -> tuple[list[tuple[int, int, int]], int]:
+def segments(text: str, limit: int, room: int) -> tuple[list[tuple[int, int, int]], int]:
     """Atomic segments (start, end, strength of the boundary at the end), and the longest natural stretch.
 
-    Stretches longer than ``room`` are cut at white space, else anywhere, never before a combining mark or joiner.
+    Stretches longer than ``limit`` are cut into parts of at most ``room``, at white space, else anywhere, never before a
+    combining mark or joiner; shorter ones stay whole.
     """
     marks: list[tuple[int, int]] = []
     for m in _BOUNDARY.finditer(text):
@@ -40,7 +41,8 @@ def segments(text: str, room: int) -> tuple[list[tuple[int, int, int]], int]:
     found, start, longest = [], 0, 0
     for end, strength in marks:
         longest = max(longest, end - start)
-        while end - start > room:
+        long = end - start > limit
+        while long and end - start > room:
             at, kind = _forced(text, start, start + room)
             found.append((start, at, kind))
             start = at
@@ -101,11 +103,8 @@ def split_text(text: str, limit: int = 2000, overlap: int = 200) -> tuple[list[t
     natural stretch that nearly fills a piece leaves less room, and the overlap shrinks to it.
     """
     room = limit if len(text) <= limit else limit - overlap
-    parts, longest = segments(text, room)
-    if longest > room:
-        # stretches that fit a piece alone stay whole: their overlap shrinks instead
-        parts, longest = segments(text, limit)
-        parts = [p for s in parts for p in _resplit(text, s, limit, overlap)]
+    # a natural stretch that fits a piece only alone stays whole: its overlap shrinks instead
+    parts, longest = segments(text, limit, room)
     pieces = []
     for k, (start, end, strength) in enumerate(merge(parts, room)):
         back = 0 if k == 0 else min(overlap, limit - (end - start), start)
@@ -113,17 +112,6 @@ def split_text(text: str, limit: int = 2000, overlap: int = 200) -> tuple[list[t
     return pieces, longest <= limit
 
 
-def _resplit(text: str, part: tuple[int, int, int], limit: int, overlap: int) -> list[tuple[int, int, int]]:
-    """A forced part of full length, cut again so that its pieces leave room for the overlap."""
-    start, end, strength = part
-    found = []
-    while strength <= WORD and end - start > limit - overlap:
-        at, kind = _forced(text, start, start + limit - overlap)
-        found.append((start, at, kind))
-        start = at
-    return [*found, (start, end, strength)] if end > start else found
-
-
 def _overlap_start(text: str, start: int, back: int) -> int:
     if back <= 0:
         return start
