@@ -150,9 +150,10 @@ need AS (SELECT doc_id, greatest(5, ceil(count(*) * 0.15 - 1e-9)) AS need FROM c
 frequent AS (
   SELECT doc_id, line FROM members JOIN keyed USING (doc_id, key) JOIN need USING (doc_id)
   GROUP BY doc_id, line, need HAVING count(DISTINCT page_number) >= need
+), gone AS (
+  SELECT doc_id, page_number, line_no::INT AS line_no FROM keyed
+  WHERE (doc_id, key) IN (SELECT doc_id, key FROM members JOIN frequent USING (doc_id, line))
 )
-SELECT doc_id, page_number, line_no::INT AS line_no FROM keyed
-WHERE (doc_id, key) IN (SELECT doc_id, key FROM members JOIN frequent USING (doc_id, line))
 """
 
 ORACLE_SQL = {
@@ -163,5 +164,9 @@ ORACLE_SQL = {
     f"{_mutual('chunks', 'chunk_id')} UNION ALL {_mutual('sections', 'section_id')}",
     "p4_found": f"{_TERMS} SELECT concept, mark FROM found WHERE mark IS NOT NULL",
     "p4_terms": f"{_TERMS} SELECT * FROM found",
-    "p6_found": _FURNITURE,
+    "p6_found": f"{_FURNITURE} SELECT * FROM gone",
+    "p6_pages": f"""{_FURNITURE}, nos AS (SELECT doc_id, page_number, list(line_no) AS nos FROM gone GROUP BY 1, 2)
+SELECT doc_id, page_number, CASE WHEN nos IS NULL THEN content
+  ELSE array_to_string(list_filter(string_split(content, chr(10)), lambda x, i: NOT list_contains(nos, i - 1)), chr(10)) END AS content
+FROM cur LEFT JOIN nos USING (doc_id, page_number)""",
 }
