@@ -93,6 +93,17 @@ def _see_also_pairs(hints: DataFrame, titles: DataFrame) -> DataFrame:
     return near.join(hints, ["d", "hint"]).join(titles, ["d", "title"]).where("src <> dst").select("src", "dst").distinct()
 
 
+def _see_also_asked(hints: DataFrame, titles: DataFrame, few: str) -> DataFrame:
+    """The same where the side ``few`` is a stated set: small enough to be broadcast, it meets the other rows of its documents."""
+    width = F.length("d") + F.length("hint" if few == "hints" else "title") + 60
+    side = if_small(hints if few == "hints" else titles, width)
+    if side is hints or side is titles:
+        return _see_also_pairs(hints, titles)
+    both = side.join(titles, "d") if few == "hints" else hints.join(side, "d")
+    near = F.contains("title", "hint") | F.contains("hint", "title")
+    return both.where((F.col("src") != F.col("dst")) & near).select("src", "dst").distinct()
+
+
 def _hints(sections: DataFrame, doc: str) -> DataFrame:
     return (
         sections.select(F.col(doc).alias("d"), F.col("section_id").alias("src"), F.col("title").alias("own"), F.explode("see_also").alias("hint"))
@@ -160,8 +171,8 @@ def neighbor_boosts(seeds: DataFrame, sections: DataFrame, types: tuple[str, ...
     if "see_also" in types:
         docs = mine.select("doc_id").distinct()
         beside = sections.join(docs, "doc_id", "left_semi")
-        out = _see_also_pairs(_hints(mine, "doc_id"), _titles(beside, "doc_id"))
-        back = _see_also_pairs(_hints(beside, "doc_id"), _titles(mine, "doc_id"))
+        out = _see_also_asked(_hints(mine, "doc_id"), _titles(beside, "doc_id"), "hints")
+        back = _see_also_asked(_hints(beside, "doc_id"), _titles(mine, "doc_id"), "titles")
         weight = F.lit(HINT_WEIGHT).alias("weight")
         parts += [out.select(F.col("src").alias("section_id"), F.col("dst").alias("peer"), weight), back.select(F.col("dst").alias("section_id"), F.col("src").alias("peer"), weight)]
     if {"next_section", "prev_section"} & set(types):

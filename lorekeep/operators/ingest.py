@@ -179,8 +179,10 @@ def index_entries(
     lines = tail.select(
         doc, page, "__first", F.posexplode(F.when(F.size(by_line) >= 5, by_line).otherwise(by_gap)).alias("at", "line")
     )
+    # an entry ends in a page number, or in dots after it; few lines do
     found = (
-        lines.select(doc, page, "__first", "at", index_entry(F.col("line")).alias("e"))
+        lines.where(F.col("line").rlike(r"[0-9.…]\z"))
+        .select(doc, page, "__first", "at", index_entry(F.col("line")).alias("e"))
         .where("e is not null")
         .withColumn("topic_norm", index_key(F.col("e.topic")))
         .where("topic_norm <> ''")

@@ -23,7 +23,7 @@ from lorekeep.functions.text import (
 from lorekeep.functions.vectors import cosine
 from lorekeep.operators.graph import neighbor_boosts
 from lorekeep.params import Params
-from lorekeep.session import cut, if_small
+from lorekeep.session import SMALL_BYTES, cut
 
 # query vectors go to the executors in blocks of at most so many bytes
 BLOCK_BYTES = 32 << 20
@@ -113,21 +113,33 @@ def token_counts(corpus: DataFrame, key: str, text: str, asked: DataFrame | None
     With ``asked`` (token) only those; where they are few they are broadcast, so other words never leave their task.
     """
     low = F.lower(text)
-    words = F.regexp_extract_all(low, F.lit("([a-z0-9_]+)"), F.lit(1))
-    # from each word on, every longer run that apostrophes join
-    chains = F.regexp_extract_all(low, F.lit("(?<![a-z0-9_])(?=([a-z0-9_]+(?:'+[a-z0-9_]+)+))"), F.lit(1))
-
-    def runs(chain: Column) -> Column:
-        parts = F.regexp_extract_all(chain, F.lit("([a-z0-9_]+|'+)"), F.lit(1))
-        return F.transform(F.sequence(F.lit(3), F.size(parts), F.lit(2)), lambda n: F.array_join(F.slice(parts, 1, n), ""))
-
-    joined = F.when(F.contains(low, F.lit("'")), F.flatten(F.transform(chains, runs))).otherwise(F.array().cast("array<string>"))
-    each = corpus.select(key, F.explode(F.concat(words, joined)).alias("token"))
+    found = F.regexp_extract_all(low, F.lit("([a-z0-9_]+)"), F.lit(1))
+    size, joined = 0, True
     if asked is not None:
-        each = each.join(if_small(asked, F.length("token") + 24), "token", "left_semi")
+        r = asked.agg(F.sum(F.length("token") + 24).alias("n"), F.max(F.contains("token", F.lit("'"))).alias("joined")).collect()[0]
+        size, joined = r["n"] or 0, bool(r["joined"])
+    if joined:
+        # runs of words that apostrophes join, from each word on to each later one
+        chains = F.regexp_extract_all(low, F.lit("([a-z0-9_]+(?:'+[a-z0-9_]+)+)"), F.lit(1))
+        found = F.concat(found, F.flatten(F.transform(chains, _joined_runs)))
+    each = corpus.select(key, F.explode(found).alias("token"))
+    if asked is not None:
+        each = each.join(F.broadcast(asked) if size <= SMALL_BYTES else asked, "token", "left_semi")
     return each.groupBy(key, "token").agg(F.count(F.lit(1)).alias("hits"))
 
 
+def _joined_runs(chain: Column) -> Column:
+    """Every run of two words or more of a chain like rock'n'roll."""
+    parts = F.regexp_extract_all(chain, F.lit("([a-z0-9_]+|'+)"), F.lit(1))
+    n = F.size(parts)
+    return F.flatten(
+        F.transform(
+            F.sequence(F.lit(1), n - 2, F.lit(2)),
+            lambda i: F.transform(F.sequence(i + 2, n, F.lit(2)), lambda j: F.array_join(F.slice(parts, i, j - i + 1), "")),
+        )
+    )
+
+
 def question_words(questions: DataFrame) -> DataFrame:
     """question_id, n_terms, term: the terms of each question."""
     t = questions.select("question_id", question_terms(F.col("question")).alias("terms"))

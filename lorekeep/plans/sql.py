@@ -671,6 +671,11 @@ outputs AS (
 prompt AS (SELECT result_id, place, chunk_id, doc_id, page_start, page_end, body FROM outputs JOIN excerpts USING (question_id)),
 {_formatted()} SELECT * FROM answers""",
     "format_results": f"WITH {_CITED}, {_OWN_PROMPTS}, {_formatted()} SELECT * FROM answers",
+    "model_outputs": f"""WITH {_CITED},
+c AS (SELECT result_id, string_agg(chunk_id, ',' ORDER BY ord) AS ids FROM cited GROUP BY 1)
+SELECT result_id, coalesce(answer, 'Unable to generate an answer.') AS answer, coalesce(spoken_summary, '') AS spoken_summary,
+  CASE WHEN confidence IN ('high', 'mixed', 'not_in_book', 'speculative') THEN confidence ELSE 'not_in_book' END AS confidence, coalesce(ids, '') AS cited
+FROM ({RESULTS}) LEFT JOIN c USING (result_id)""",
     "citation_alignment": f"""WITH {_CITED}, {_BODIES}, {_QTERMS},
 texts AS (SELECT c.result_id, ord, chunk_id, question, terms, stacking, answer, body AS snippet FROM cited c JOIN ({RESULTS}) r USING (result_id) JOIN qterms USING (question_id) JOIN bodies USING (chunk_id) WHERE trim(answer) <> ''),
 {_aligned("texts")} SELECT result_id, ord::INT AS ord, chunk_id, round(support, 6) AS support, kept, place FROM lined""",
