@@ -6,6 +6,7 @@ times over, so the texts go through Arrow in batches.
 
 from __future__ import annotations
 
+import functools
 import re
 
 import pandas as pd
@@ -22,6 +23,7 @@ _STOPS = [re.compile(p, re.ASCII) for p in STOPS]
 _RULES = re.compile(rf"\b(?:{'|'.join(RULE_PHRASES)})\b", re.IGNORECASE | re.ASCII)
 _HEADING = re.compile(r"\bMultiple Afflictions\b", re.IGNORECASE | re.ASCII)
 _WORD = re.compile(r"[a-z0-9']+")
+_TOKEN = re.compile(r"[a-z0-9_]+")
 _STOP_WORDS = frozenset(ANSWER_STOP)
 
 
@@ -30,22 +32,48 @@ class _Clause:
 
     def __init__(self, text: str) -> None:
         words = _WORD.findall(text.lower())
-        terms = dict.fromkeys(w.strip("'") for w in words)
-        self.terms = [re.compile(rf"(?<![a-z0-9_]){re.escape(t)}(?![a-z0-9_])") for t in terms if len(t) >= 4 and t not in _STOP_WORDS]
+        terms = [t for t in dict.fromkeys(w.strip("'") for w in words) if len(t) >= 4 and t not in _STOP_WORDS]
+        self.count = len(terms)
+        self.plain = frozenset(t for t in terms if "'" not in t)
+        self.quoted = [re.compile(rf"(?<![a-z0-9_]){re.escape(t)}(?![a-z0-9_])") for t in terms if "'" in t]
         self.pairs = [p for p in map(" ".join, zip(words, words[1:], strict=False)) if len(p) >= 8]
         self.ruled = bool(_RULES.search(text))
 
-    def support(self, low: str) -> float:
-        hits = sum(bool(t.search(low)) for t in self.terms)
-        score = 6 * hits / len(self.terms) if self.terms else 0.0
-        if self.ruled and _RULES.search(low):
+    def support(self, low: str, tokens: set[str] | None = None, ruled: bool | None = None) -> float:
+        tokens = set(_TOKEN.findall(low)) if tokens is None else tokens
+        hits = len(self.plain & tokens) + sum(bool(t.search(low)) for t in self.quoted)
+        score = 6 * hits / self.count if self.count else 0.0
+        if self.ruled and (bool(_RULES.search(low)) if ruled is None else ruled):
             score += 4
         return score + min(1.1 * sum(p in low for p in self.pairs), 4)
 
 
-def _clauses(answer: str) -> list[_Clause]:
+@functools.lru_cache(maxsize=1024)
+def _clauses(answer: str) -> tuple[_Clause, ...]:
     parts = [p.strip() for p in re.split(r"(?<=[.!?])\s+", answer)]
-    return [_Clause(p) for p in [p for p in parts if len(p) > 28] or [answer]]
+    return tuple(_Clause(p) for p in [p for p in parts if len(p) > 28] or [answer])
+
+
+def _best(parts: tuple[_Clause, ...], low: str) -> float:
+    tokens = set(_TOKEN.findall(low))
+    ruled = bool(_RULES.search(low)) if any(c.ruled for c in parts) else False
+    return max(c.support(low, tokens, ruled) for c in parts)
+
+
+def support(answer: str | None, snippet: str | None) -> float | None:
+    """The greatest support that a snippet gives any clause of an answer; null where either is null."""
+    if answer is None or snippet is None:
+        return None
+    return float(max(_best(_clauses(answer), snippet.lower()), 0.0))
+
+
+def supported(answer: Column, snippet: Column) -> Column:
+    """``support`` as a column."""
+
+    def run(answers: pd.Series, snippets: pd.Series) -> pd.Series:
+        return pd.Series([support(a, s) for a, s in zip(answers, snippets, strict=True)], dtype="float64")
+
+    return F.pandas_udf(run, "double")(answer, snippet)
 
 
 def _block(body: str, start: int, stop_from: int, least: int) -> str | None:
@@ -70,7 +98,7 @@ def best_window(body: str, answer: str) -> str:
     if len(body) <= WINDOW + 120:
         return body
     parts, low = _clauses(answer), body.lower()
-    at = max(range(0, len(body) - WINDOW + 1, STEP), key=lambda i: (max(c.support(low[i : i + WINDOW]) for c in parts), -i))
+    at = max(range(0, len(body) - WINDOW + 1, STEP), key=lambda i: (_best(parts, low[i : i + WINDOW]), -i))
     lo, hi = max(0, at - 32), min(len(body), at + WINDOW + 72)
     if lo > 0 and (gap := body.rfind(" ", 0, lo + 49)) > lo - 48:
         lo = gap + 1

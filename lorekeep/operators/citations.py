@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.functions.snippets import focused
+from lorekeep.functions.snippets import focused, supported
 from lorekeep.functions.text import (
     about_instances,
     about_stacking,
-    best_support,
     chunk_id_of,
     glossary_boost,
     has_rule_text,
@@ -108,7 +107,7 @@ def aligned(cited: DataFrame, key: str = "result_id") -> DataFrame:
     """
     w = Window.partitionBy(key)
     terms = question_terms(F.col("question"))
-    scored = cited.withColumn("support", best_support(F.col("answer"), F.col("snippet"))).withColumn(
+    scored = cited.withColumn("support", supported(F.col("answer"), F.col("snippet"))).withColumn(
         "lexical", match_ratio(F.col("snippet"), terms)
     )
     many = F.count(F.lit(1)).over(w) > 1
