@@ -102,6 +102,23 @@ def test_concept_matches_against_all_pairs(spark):
     assert got == want and want
 
 
+def test_phrases_are_matched_once_for_all_questions(spark):
+    texts = ["fire gate ward", "gatekeeper of the fire gate", "nothing known here", None]
+    q = spark.createDataFrame([(i, texts[i % 4]) for i in range(200)], "question_id long, question string")
+    sections = spark.createDataFrame([(["Fire gate", "ward"], ["a#1", "a#2"]), (["gatekeeper"], ["a#2", "a#3"]), (["fire"], ["a#3"]), (None, ["a#4"])], "defines array<string>, chunk_ids array<string>")
+    phrases = rt.question_phrases(q)
+    keys = rt.define_keys(sections, "chunk_ids")
+    met = rt.met_concepts(phrases.select(F.explode("phrases").alias("phrase")), keys)
+    rows = [tuple(r) for r in met.collect()]
+    pairs = rt.concept_matches(q, keys).cache()
+    assert len(rows) == len(set(rows)) == pairs.select("phrase", "define").distinct().count() < pairs.count()
+    chunks = keys.select("define", F.explode("chunk_ids").alias("chunk_id")).distinct()
+    want = {tuple(r) for r in pairs.join(chunks, "define").groupBy("question_id", "chunk_id").count().collect()}
+    lane = rt.define_lane(q, sections, 10, 0.05)
+    assert want and {(r.question_id, r.chunk_id, r.hits) for r in lane.collect()} == want
+    assert {r.question_id: r.chunks_seeded for r in rt.define_debug(q, sections, lane).collect()}.keys() == set(range(200))
+
+
 def test_terms_with_apostrophes(spark):
     corpus = spark.createDataFrame([(0, "We play rock'n'roll and don't stop; rock'n it. a''b"), (1, "rocknroll")], "corpus_pos long, text string")
     got = {(r.corpus_pos, r.token): r.hits for r in rt.token_counts(corpus, "corpus_pos", "text").collect()}
