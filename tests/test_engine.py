@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from lorekeep.functions import parsing as ps
 from lorekeep.functions import text as tx
 from lorekeep.operators import ask, blocks, enrich
+from lorekeep.operators import citations as ci
 from lorekeep.operators import graph as gr
 from lorekeep.operators import ingest as ing
+from lorekeep.operators import lexical as lx
 from lorekeep.operators import prompt as pr
 from lorekeep.operators import retrieve as rt
 from lorekeep.params import Params, load_params
@@ -127,6 +129,31 @@ def test_terms_with_apostrophes(spark):
     assert [r.corpus_pos for r in rt.lexical_scores(corpus, q).collect()] == [0]
 
 
+def test_best_words_are_those_of_all_scores(spark):
+    rng = random.Random(11)
+    words = ["impaired", "an", "impaired", "multiple", "rock'n'roll", "rock'n", "gate", "no", "additional", "effect", "don't", "seal"]
+    texts = [(i, f"d{i % 3 if i % 5 else 7}", " ".join(rng.choices(words, k=rng.randint(0, 9)))) for i in range(2500)] + [(2500, "d1", None)]
+    corpus = spark.createDataFrame(texts, "corpus_pos long, doc_id string, text string").repartition(7)
+    asked = [(1, "Impaired twice, rock'n'roll?"), (2, "the"), (3, "gate seal impaired"), (4, None), (5, "rock'n gate don't"), (6, "unknown words")]
+    q = spark.createDataFrame(asked, "question_id long, question string")
+    # all scores as a table of every question and text with a word in common
+    scores = rt.lexical_scores(corpus, q).cache()
+    best = lx.lexical_best(corpus, q, 9)
+    assert best.count() <= 9 * 4 * 2 * spark.sparkContext.defaultParallelism < scores.count()
+
+    def shown(df, *names):
+        return sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.select(*names).collect())
+
+    names = ("question_id", "corpus_pos", "ratio", "hits", "boost", "lex")
+    assert shown(rt.ranked(best, "lex", 9), *names, "rank") == shown(rt.ranked(scores, "lex", 9), *names, "rank")
+    pairs = q.select("question_id").crossJoin(corpus.where("corpus_pos % 3 = 0"))
+    assert shown(lx.lexical_of(pairs, q), *names) == shown(scores.where("corpus_pos % 3 = 0"), *names)
+    for most, cap in ((5, 2), (12, 1), (3, 3)):
+        few = lx.lexical_best(corpus, q, most, doc="doc_id", per_document=cap)
+        want = ci.provenance(scores.join(corpus.select("corpus_pos", "doc_id"), "corpus_pos"), most, cap)
+        assert shown(ci.provenance(few, most, cap), "question_id", "corpus_pos", "value", "hits", "pick") == shown(want, "question_id", "corpus_pos", "value", "hits", "pick")
+
+
 def test_router(spark):
     docs = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [1.0, 1.0])], "doc_id string, embedding array<double>")
     q = spark.createDataFrame([(1, [2.0, 0.0]), (2, None)], "question_id long, query_vec array<float>")
