@@ -154,6 +154,35 @@ def test_best_words_are_those_of_all_scores(spark):
         assert shown(ci.provenance(few, most, cap), "question_id", "corpus_pos", "value", "hits", "pick") == shown(want, "question_id", "corpus_pos", "value", "hits", "pick")
 
 
+def test_dense_in_small_blocks(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, [float(rng.randint(-2, 2)) for _ in range(3)]) for i in range(600)]
+    corpus = spark.createDataFrame(rows, "corpus_pos long, embedding array<double>").repartition(9)
+    asked = [(q, [float(rng.randint(-2, 2)) + 0.5 for _ in range(3)]) for q in range(5)]
+    monkeypatch.setattr(rt, "CELLS", 5 * 40)
+    monkeypatch.setattr(rt, "HELD", 50)
+    got = {(r.question_id, r.rank): r.corpus_pos for r in rt.dense_scores(corpus, spark.createDataFrame(asked, "question_id long, query_vec array<double>"), 7).collect()}
+
+    def cosine(a, b):
+        size = sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / size, 9) if size else 0.0
+
+    for q, v in asked:
+        want = sorted(rows, key=lambda r: (-cosine(v, r[1]), r[0]))[:7]
+        assert [got[q, i + 1] for i in range(7)] == [r[0] for r in want]
+
+
+@pytest.mark.parametrize("name", ["hybrid_retrieve"])
+def test_searches_make_no_table_of_all_scores(spark, sf_dir, monkeypatch, name):
+    from lorekeep.plans import catalogue
+
+    def never(*args, **more):
+        raise AssertionError("scores of all questions and texts")
+
+    monkeypatch.setattr(rt, "lexical_scores", never)
+    assert catalogue.QUERIES[name](spark, sf_dir, every=4).count() > 0
+
+
 def test_router(spark):
     docs = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [1.0, 1.0])], "doc_id string, embedding array<double>")
     q = spark.createDataFrame([(1, [2.0, 0.0]), (2, None)], "question_id long, query_vec array<float>")
