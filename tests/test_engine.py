@@ -172,7 +172,7 @@ def test_dense_in_small_blocks(spark, monkeypatch):
         assert [got[q, i + 1] for i in range(7)] == [r[0] for r in want]
 
 
-@pytest.mark.parametrize("name", ["hybrid_retrieve", "neighbor_expand", "ask_results", "hybrid_all_lanes", "prompt_budget"])
+@pytest.mark.parametrize("name", ["hybrid_retrieve", "neighbor_expand", "ask_results", "hybrid_all_lanes", "prompt_budget", "prompt_text"])
 def test_searches_make_no_table_of_all_scores(spark, sf_dir, monkeypatch, name):
     from lorekeep.plans import catalogue
 
