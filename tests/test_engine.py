@@ -129,6 +129,19 @@ def test_terms_with_apostrophes(spark):
     assert [r.corpus_pos for r in rt.lexical_scores(corpus, q).collect()] == [0]
 
 
+def test_define_lane_makes_phrases_once_a_text(spark, monkeypatch):
+    # the lane counts once for each set of known phrases, not for each question
+    q = spark.createDataFrame([(i, ["the fire gate", "fire gate", "ward"][i % 3]) for i in range(90)], "question_id long, question string")
+    sections = spark.createDataFrame([(["fire gate"], [f"a#{i}" for i in range(40)]), (["ward"], ["a#1"])], "defines array<string>, chunk_ids array<string>")
+    seen = []
+    whole = rt.cut
+    monkeypatch.setattr(rt, "cut", lambda df: seen.append(whole(df)) or seen[-1])
+    lane = rt.define_lane(q, sections, 3, 0.05)
+    pairs = [x for x in seen if {"kind", "define", "n"} <= set(x.columns)]
+    assert len(pairs) == 1 and pairs[0].count() == 2
+    assert lane.count() == 60 * 3 + 30
+
+
 def test_best_words_are_those_of_all_scores(spark):
     rng = random.Random(11)
     words = ["impaired", "an", "impaired", "multiple", "rock'n'roll", "rock'n", "gate", "no", "additional", "effect", "don't", "seal"]
