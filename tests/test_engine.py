@@ -1,9 +1,12 @@
 """Blocks, parsing, enrichment, requests, providers and parameters."""
 
+import collections
 import itertools
 import json
 import random
+import types
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,6 +170,42 @@ def test_best_words_are_those_of_all_scores(spark):
         assert shown(ci.provenance(few, most, cap), "question_id", "corpus_pos", "value", "hits", "pick") == shown(want, "question_id", "corpus_pos", "value", "hits", "pick")
 
 
+def test_words_of_many_texts_are_counted_at_once(spark, monkeypatch):
+    rng = random.Random(3)
+    words = ["rock'n'roll", "o'neil", "don't", "armor", "stack", "armored", "a", "an", "n", "é", "Ü", "x_1", "''", "sword", "\u00a0"]
+    asked = [types.SimpleNamespace(question_id=9 - i, terms=rng.sample(["rock'n'roll", "o'neil", "n'roll", "armor", "stack", "x_1", "armored"], 3), stacking=False) for i in range(9)]
+    a = lx.Asked(asked)
+    texts = ["".join(rng.choice(words) + rng.choice([" ", " ", "'", ", ", "\n"]) for _ in range(rng.randint(0, 30))).lower() for _ in range(500)]
+    want = collections.Counter(i * len(texts) + j for j, x in enumerate(texts) for i in a.found(x))
+    low = pa.array(["before", *texts], pa.string()).slice(1)
+    code, count = a.counts(low)
+    assert dict(zip(code.tolist(), count.tolist(), strict=True)) == want
+    assert dict(lx.all_back_words(low)) == {j: found for j, x in enumerate(texts) if (found := lx.back_words(x))}
+
+    def never(*_):
+        raise AssertionError("a text was taken apart by itself")
+
+    # neither the lane nor the scores of known pairs take each text apart
+    monkeypatch.setattr(lx.Asked, "found", never)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), low, pa.array([0.0] * len(texts))], names=["key", "low", "rule"])
+    assert sum(b.num_rows for b in lx._tops(iter([batch]), a, 5)) == 45
+
+
+def test_lines_of_documents_without_an_index_are_not_parsed(spark, monkeypatch):
+    whole = ing.index_entry
+
+    def checked(line):
+        return F.when(F.contains(line, F.lit("never")), F.raise_error(F.lit("parsed")).cast(whole_type)).otherwise(whole(line))
+
+    pages = [("few", i, f"never {i}\nnever topic {i}") for i in range(10)] + [("many", i, f"topic x{chr(97 + i)} {i + 1}\n\n\ntopic y{chr(97 + i)} 7") for i in range(11)]
+    pages += [("headed", 1, "Index\n" + "\n".join(f"word{chr(97 + i)} {i + 1}" for i in range(6))), ("headed few", 1, "Index\n" + "\n".join(f"never{chr(97 + i)} {i + 1}" for i in range(5))), ("none", 1, None)]
+    df = spark.createDataFrame(pages, "doc_id string, page_number int, content string")
+    whole_type = df.select(whole(F.col("content")).alias("e")).schema["e"].dataType
+    monkeypatch.setattr(ing, "index_entry", checked)
+    got = {r.doc_id: r.n for r in ing.index_entries(df).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {"many": 22, "headed": 6}
+
+
 def test_dense_in_small_blocks(spark, monkeypatch):
     rng = random.Random(3)
     rows = [(i, [float(rng.randint(-2, 2)) for _ in range(3)]) for i in range(600)]
