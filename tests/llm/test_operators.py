@@ -294,6 +294,25 @@ def test_neighbors_recall_copies_and_bad_vectors(spark):
 
 
 @pytest.fixture(scope="module")
+
+
+def test_sample_is_not_searched_by_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(700, 64)).astype(np.float32)
+    df = spark.createDataFrame([(f"v{i:03d}", v.tolist()) for i, v in enumerate(x)], "id string, v array<float>")
+    sizes, whole = [], neighbors.Tree.visited
+    monkeypatch.setattr(neighbors.Tree, "visited", lambda self, rows, visits: sizes.append(len(rows)) or whole(self, rows, visits))
+    p = neighbors.TreeParams(leaf_size=30, probes=20, cell_size=100)
+    got = neighbors.nearest_vectors(df, "id", "v", 5, params=p).collect()
+    # the probes and their neighbours only
+    assert sizes and max(sizes) <= 20 * 5
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T
+    np.fill_diagonal(near, -9)
+    true = {(f"v{i:03d}", f"v{j:03d}") for i in range(700) for j in np.argsort(-near[i])[:5]}
+    assert len(got) == 700 * 5 and len(true & {(r.id, r.other) for r in got}) >= 0.9 * len(true)
+
+
 def net(spark, sf_dir):
     return language.fit_languages(spark.read.parquet(f"{sf_dir}/lang_samples.parquet"))
 
