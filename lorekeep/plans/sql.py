@@ -795,9 +795,21 @@ FROM ({RESULTS}) LEFT JOIN o USING (result_id) GROUP BY 1, 2""",
 }
 
 
-def oracle_sql(every: int = 100) -> dict[str, str]:
-    """SQL of every query that has one; a search asks the questions whose id is divisible by ``every``."""
-    return {name: sql.replace("@EVERY", str(every)) for name, sql in _SQL.items()}
+# searches that ask every question unless they are told to ask fewer
+WHOLE: tuple[str, ...] = ("hybrid_retrieve",)
+
+
+def _of_all(sql: str) -> str:
+    """``sql`` without the choice of questions."""
+    return sql.replace("question_id % @EVERY = 0 AND ", "").replace(" WHERE question_id % @EVERY = 0", "")
+
+
+def oracle_sql(every: int | None = None) -> dict[str, str]:
+    """SQL of every query that has one; a search asks the questions whose id is divisible by ``every``.
+
+    Without it those of ``WHOLE`` ask all questions, the other searches those divisible by 100.
+    """
+    return {name: (_of_all(sql) if every is None and name in WHOLE else sql).replace("@EVERY", str(every or 100)) for name, sql in _SQL.items()}
 
 
 ORACLE_SQL = oracle_sql()
