@@ -796,7 +796,7 @@ FROM ({RESULTS}) LEFT JOIN o USING (result_id) GROUP BY 1, 2""",
 
 
 # searches that ask every question unless they are told to ask fewer
-WHOLE = ("hybrid_retrieve", "neighbor_expand", "prompt_budget", "ask_results")
+WHOLE = ("hybrid_retrieve", "hybrid_all_lanes", "neighbor_expand", "prompt_budget", "ask_results")
 
 
 def _of_all(sql: str) -> str:
